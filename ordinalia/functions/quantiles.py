@@ -64,13 +64,12 @@ def _binned(rows: DataFrame, keys: list[str], bound: int) -> DataFrame:
         .agg(F.percentile_approx("_v", grid, 20 * bins).alias("_cuts"))
         .withColumn("_cuts", F.array_distinct("_cuts"))
     )
-    joined = distinct.crossJoin(F.broadcast(sketch)) if not keys else distinct.join(sketch, keys)
-    joined = joined.withColumn(
+    joined = distinct.join(sketch, keys).withColumn(
         "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).cast("int")
-    ).drop("_cuts")
+    )
     sizes = joined.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_bw"))
     # at most `bins` rows per group enter these windows
-    by_group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    by_group = W.partitionBy(*keys)
     sizes = sizes.select(
         *keys,
         "_bin",
@@ -78,14 +77,12 @@ def _binned(rows: DataFrame, keys: list[str], bound: int) -> DataFrame:
         F.col("_bw"),
         F.sum("_bw").over(by_group).alias("_total"),
     )
-    return joined.join(sizes, [*keys, "_bin"])
+    return joined.drop("_cuts").join(sizes, [*keys, "_bin"])
 
 
-def _large_quantiles(rows: DataFrame, keys: list[str], probs: list[float], bound: int) -> DataFrame:
-    binned = _binned(rows, keys, bound)
-    position = [F.lit(p) * (F.col("_total") - 1) for p in probs]
-    wanted = F.array(*[f(h).cast("bigint") for h in position for f in (F.floor, F.ceil)])
-    hit = binned.withColumn("_ranks", wanted).where(
+def _values_at(binned: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
+    """Values at 0-based ``ranks`` (expressions of ``_total``) as ``_s0, _s1, ...`` plus ``n``."""
+    hit = binned.withColumn("_ranks", F.array(*[r.cast("bigint") for r in ranks])).where(
         F.exists(
             "_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bw"))
         )
@@ -96,8 +93,17 @@ def _large_quantiles(rows: DataFrame, keys: list[str], probs: list[float], bound
         .select(*keys, "_v", "_w", "_upto", "_total", F.posexplode("_ranks").alias("_slot", "_rank"))
         .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_w")))
     )
-    slots = [F.max(F.when(F.col("_slot") == i, F.col("_v"))).alias(f"_s{i}") for i in range(2 * len(probs))]
-    wide = found.groupBy(*keys).agg(F.first("_total").alias("n"), *slots)
+    slots = [F.max(F.when(F.col("_slot") == i, F.col("_v"))).alias(f"_s{i}") for i in range(len(ranks))]
+    return found.groupBy(*keys).agg(F.first("_total").alias("n"), *slots)
+
+
+def _large_quantiles(rows: DataFrame, keys: list[str], probs: list[float], bound: int) -> DataFrame:
+    group = keys or ["_g"]
+    grouped = rows if keys else rows.withColumn("_g", F.lit(0))
+    position = [F.lit(p) * (F.col("_total") - 1) for p in probs]
+    wide = _values_at(
+        _binned(grouped, group, bound), group, [f(h) for h in position for f in (F.floor, F.ceil)]
+    )
     parts = []
     for i, p in enumerate(probs):
         h = F.lit(p) * (F.col("n") - 1)
@@ -117,9 +123,13 @@ def average_rank(
 ) -> DataFrame:
     """Add the 1-based average rank of ``value`` within each group (ties share their mean rank)."""
     keys = list(keys)
+    if not keys:
+        return average_rank(
+            df.withColumn("_g", F.lit(0)), ["_g"], value, out, group_rows=group_rows, small_group=small_group
+        ).drop("_g")
     bound = largest_group(df, keys) if group_rows is None else group_rows
     if bound <= small_group:
-        group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+        group = W.partitionBy(*keys)
         first = F.rank().over(group.orderBy(value))
         ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
         return df.withColumn(out, first + (ties - 1) / 2.0)
@@ -130,20 +140,38 @@ def average_rank(
     return df.join(ranks, [*keys, value])
 
 
-def upper_quantile(df: DataFrame, keys: Sequence[str], value: str, prob: float, out: str) -> DataFrame:
-    """Observed value at index ``ceil(prob * (n - 1))`` of each sorted group."""
-    # the two neighbours of the exact position are found by the same search; the upper one is kept
+def upper_quantile(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    prob: float,
+    out: str,
+    *,
+    small_group: int = SMALL_GROUP,
+) -> DataFrame:
+    """Observed value at index ``ceil(prob * (n - 1))`` of each sorted group, with the group size ``n``."""
     keys = list(keys)
-    sized = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    total = F.sum("_w").over(group)
-    upto = F.sum("_w").over(group.orderBy(value))
-    target = F.ceil(F.lit(prob) * (F.col("_total") - 1))
-    return (
-        sized.select(*keys, F.col(value), "_w", total.alias("_total"), upto.alias("_upto"))
-        .where((target < F.col("_upto")) & (target >= F.col("_upto") - F.col("_w")))
-        .select(*keys, F.col(value).alias(out), F.col("_total").cast("bigint").alias("n"))
+    group = keys or ["_g"]
+    rows = df.where(F.col(value).isNotNull()).select(
+        *(keys or [F.lit(0).alias("_g")]),
+        F.col(value).cast("double").alias("_v"),
+        F.lit(1).cast("bigint").alias("_w"),
     )
+    target = F.ceil(F.lit(float(prob)) * (F.col("_total") - 1))
+    bound = largest_group(rows, group)
+    if bound <= small_group:
+        by_group = W.partitionBy(*group)
+        ranked = rows.select(
+            *group,
+            "_v",
+            F.row_number().over(by_group.orderBy("_v")).alias("_at"),
+            F.count(F.lit(1)).over(by_group).alias("_total"),
+        )
+        return ranked.where(F.col("_at") - 1 == target).select(
+            *keys, F.col("_v").alias(out), F.col("_total").alias("n")
+        )
+    wide = _values_at(_binned(rows, group, bound), group, [target])
+    return wide.select(*keys, F.col("_s0").alias(out), "n")
 
 
 def spearman(
