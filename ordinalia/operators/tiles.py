@@ -33,12 +33,20 @@ COST_TYPE = f"decimal(38,{COST_DIGITS})"
 # ---------------------------------------------------------------- block-pair arithmetic
 
 
-def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _over_features(a: np.ndarray, b: np.ndarray, step) -> np.ndarray:
+    """Sum ``step(a_f - b_f)`` feature by feature: the same order, hence the same sum, everywhere."""
     total = np.zeros((len(a), len(b)))
+    gap = np.empty_like(total)
+    columns, rows = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for f in range(a.shape[1]):
-        step = a[:, f, None] - b[None, :, f]
-        total += step * step
-    return np.sqrt(total)
+        np.subtract(columns[f][:, None], rows[f][None, :], out=gap)
+        step(gap)
+        total += gap
+    return total
+
+
+def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(_over_features(a, b, lambda gap: np.multiply(gap, gap, out=gap)))
 
 
 def _correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,9 +60,7 @@ def _correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     p = a.shape[1]
-    total = np.zeros((len(a), len(b)))
-    for f in range(p):
-        total += np.abs(a[:, f, None] - b[None, :, f])
+    total = _over_features(a, b, lambda gap: np.abs(gap, out=gap))
     return np.clip(total * (p - 1.0) / float(p * p // 2), 0.0, 1.0)
 
 
