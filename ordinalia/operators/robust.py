@@ -111,16 +111,8 @@ def feature_model(selected: DataFrame) -> DataFrame:
     return (
         selected.groupBy("dataset_id")
         .agg(items.alias("_i"))
-        .select(
-            "dataset_id",
-            *[
-                F.transform("_i", lambda s, f=field: s[f]).alias(name)
-                for field, name in (
-                    ("feature_id", "feature_ids"),
-                    ("median", "medians"),
-                    ("scale", "scales"),
-                )
-            ],
+        .selectExpr(
+            "dataset_id", "_i.feature_id AS feature_ids", "_i.median AS medians", "_i.scale AS scales"
         )
     )
 

@@ -391,7 +391,7 @@ def fit(
         active = state.where("NOT converged")
         if not active.limit(1).count():
             break
-        counts, state = _settle(rows, state, k, max_pairs, step)
+        counts, state = _settle(rows, state, k, max_pairs)
         built = cut(build_prototypes(_exploded(counts), max_rules, min_support, min_contrast))
         prototypes = built if prototypes is None else cut(
             prototypes.join(active.select("dataset_id"), "dataset_id", "left_anti").unionByName(built)
@@ -426,13 +426,13 @@ def fit(
 _COUNTS = "dataset_id string, cluster int, n bigint, ones array<bigint>, changed bigint, least array<struct<margin:double,sample_id:string>>"
 
 
-def _settle(rows, state, k, max_pairs, step):
+def _settle(rows, state, k, max_pairs):
     """Counts of the current labels, after repairing empty clusters where there are any."""
     work = state.where("NOT converged").select("dataset_id", "now", "before")
     counts = cut(rows.join(work, "dataset_id").mapInArrow(_round_counts(k, max_pairs, False), _COUNTS))
     sizes = counts.groupBy("dataset_id", "cluster").agg(F.sum("n").alias("n"))
     empty = sizes.where("n = 0").select("dataset_id").distinct()
-    if step == 0 or not empty.limit(1).count():
+    if not empty.limit(1).count():
         return counts, state
     broken = rows.join(work, "dataset_id").join(empty, "dataset_id", "left_semi")
     loose = broken.mapInArrow(_round_counts(k, max_pairs, True), _COUNTS)
