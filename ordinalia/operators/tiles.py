@@ -65,7 +65,10 @@ def _footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _states(q: np.ndarray, relations: dict) -> np.ndarray:
+    """States per relation; a negative margin asks for the two states ``>`` and ``not >``."""
     gap = q[:, relations["left"]] - q[:, relations["right"]]
+    if relations["margin"] < 0:
+        return np.where(np.isnan(gap), np.nan, (gap > 0).astype(float))
     out = np.where(gap > relations["margin"], 1.0, np.where(gap < -relations["margin"], -1.0, 0.0))
     return np.where(np.isnan(gap), np.nan, out)
 
