@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import quantiles as Q
-from ..runtime import checked_broadcast
+from ..runtime import model_table
 from .robust import FEATURE, SAMPLE, observed_scale
 
 # Kinds in cycle order, and strength per level (small, moderate, strong).
@@ -66,16 +66,19 @@ def perturb(
     seed: int,
     scales: DataFrame | None = None,
 ) -> DataFrame:
-    """Measurements of every replicate, with ``rep`` and ``kind`` columns; ids and schema stay as they are."""
-    scales = observed_scale(measurements) if scales is None else scales
+    """Measurements of every replicate, with ``rep`` and ``kind`` columns; ids and schema stay as they are.
+
+    ``scales`` may hold already materialised feature scales.
+    """
+    scales = model_table(observed_scale(measurements)) if scales is None else scales
     listed = F.array(
         *[
             F.struct(F.lit(rep).alias("rep"), F.lit(kind).alias("kind"), F.lit(s).alias("strength"))
             for rep, kind, s in specs
         ]
     )
-    spread = measurements.join(checked_broadcast(scales), FEATURE).select(
-        *SAMPLE, "feature_id", "value", "scale", F.explode(listed).alias("_s")
+    spread = measurements.join(scales, FEATURE, "left").select(
+        *SAMPLE, "feature_id", "value", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.explode(listed).alias("_s")
     )
     value = perturbed_value(F.col("_s.kind"), F.col("_s.strength"), seed, F.col("_s.rep"))
     return spread.select(
@@ -95,7 +98,7 @@ def sample_order(samples: DataFrame, seed: int, *salt) -> DataFrame:
     )
     ranked = Q.average_rank(drawn, ["dataset_id"], "_u", "_rank")
     sizes = drawn.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(checked_broadcast(sizes), "dataset_id").select(
+    return ranked.join(model_table(sizes), "dataset_id").select(
         *SAMPLE, (F.col("_rank") - 1).cast("bigint").alias("at"), "n"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast
+from ..runtime import BROADCAST_ROWS, at_most, model_table
 from .robust import FEATURE, SAMPLE
 
 
@@ -41,7 +41,9 @@ def profile_rows(
     selected = model.select(
         "dataset_id", F.posexplode("feature_ids").alias("_pos", "feature_id")
     )
-    marked = measurements.join(checked_broadcast(selected), FEATURE, "left")
+    # one count decides for both: the model has fewer rows than its exploded features
+    small = at_most(selected, BROADCAST_ROWS)
+    marked = measurements.join(F.broadcast(selected) if small else selected, FEATURE, "left")
     used = F.col("_pos").isNotNull() & F.col("value").isNotNull()
     ranked = (
         marked.select(*keys, "_pos", F.when(used, F.col("value")).alias("value"))
@@ -49,7 +51,7 @@ def profile_rows(
     )
     cell = F.when(F.col("q").isNotNull(), F.struct("_pos", "value", "q"))
     packed = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
-    rows = packed.join(checked_broadcast(model), "dataset_id")
+    rows = packed.join(F.broadcast(model) if small else model, "dataset_id")
     complete = F.size("_cells") == F.size("feature_ids")
     lookup = F.map_from_entries(
         F.transform("_cells", lambda c: F.struct(c["_pos"], F.struct(c["value"], c["q"])))
@@ -83,9 +85,11 @@ def state_of(difference: Column, margin: float | Column = 0.0) -> Column:
 def relation_states(ranks: DataFrame, pairs: DataFrame, margin: float = 0.0) -> DataFrame:
     """Long relation table for a frozen pair list ``dataset_id, left, right`` (state NULL if unobserved)."""
     bad = invalid_pairs(pairs)
-    listed = checked_broadcast(pairs.select("dataset_id", "left", "right").join(
-        bad.select("dataset_id", "left", "right"), ["dataset_id", "left", "right"], "left_anti"
-    ))
+    listed = model_table(
+        pairs.select("dataset_id", "left", "right").join(
+            bad.select("dataset_id", "left", "right"), ["dataset_id", "left", "right"], "left_anti"
+        )
+    )
     by_sample = ranks.groupBy(*SAMPLE).agg(
         F.map_from_entries(F.collect_list(F.struct("feature_id", "q"))).alias("_q")
     )
@@ -102,7 +106,7 @@ def binary_relations(measurements: DataFrame, pairs: DataFrame) -> DataFrame:
     by_sample = measurements.groupBy(*SAMPLE).agg(
         F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("_v")
     )
-    return by_sample.join(checked_broadcast(pairs), "dataset_id").select(
+    return by_sample.join(model_table(pairs), "dataset_id").select(
         *SAMPLE,
         "left",
         "right",

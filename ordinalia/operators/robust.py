@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import quantiles as Q
-from ..runtime import checked_broadcast
+from ..runtime import checked_broadcast, model_table
 
 FEATURE = ["dataset_id", "feature_id"]
 SAMPLE = ["dataset_id", "sample_id"]
@@ -30,10 +30,9 @@ def feature_stats(measurements: DataFrame) -> DataFrame:
     """
     observed = measurements.where(F.col("value").isNotNull())
     bound = Q.largest_group(observed, FEATURE)
-    medians = observed_median(observed, bound)
-    # one row per feature: counted before it is sent anywhere
-    centre = checked_broadcast(medians)
-    deviations = observed.join(centre, FEATURE).select(
+    # one row per feature, materialised once and counted before it is sent anywhere
+    medians = model_table(observed_median(observed, bound))
+    deviations = observed.join(medians, FEATURE).select(
         *FEATURE, F.abs(F.col("value") - F.col("median")).alias("_dev")
     )
     mad = Q.quantiles(deviations, FEATURE, "_dev", [0.5], group_rows=bound).select(
@@ -64,12 +63,14 @@ def feature_stats(measurements: DataFrame) -> DataFrame:
     )
 
 
-def observed_scale(measurements: DataFrame) -> DataFrame:
-    """IQR over observed values only; 1 with fewer than two of them or no spread."""
-    spread = Q.quantiles(measurements, FEATURE, "value", [0.25, 0.75])
+def observed_scale(measurements: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """IQR over observed values only; 1 with fewer than two of them or no spread.
+
+    A feature without any observation has no row; its cells stay missing under every perturbation.
+    """
+    spread = Q.quantiles(measurements, FEATURE, "value", [0.25, 0.75], group_rows=group_rows)
     iqr = F.col("q")[1] - F.col("q")[0]
-    known = measurements.select(*FEATURE).distinct()
-    return known.join(spread, FEATURE, "left").select(
+    return spread.select(
         *FEATURE,
         F.when((F.col("n") >= 2) & (iqr > 0), iqr).otherwise(1.0).alias("scale"),
     )
@@ -159,9 +160,9 @@ def robust_z(measurements: DataFrame, stats: DataFrame | None = None) -> DataFra
 
     The MAD of the imputed column is used; a spread of at most 1e-12 counts as 1.
     """
-    stats = imputed_mad(measurements) if stats is None else stats
+    stats = model_table(imputed_mad(measurements)) if stats is None else stats
     denominator = F.when(F.col("mad") > 1e-12, F.col("mad")).otherwise(1.0)
-    return measurements.join(checked_broadcast(stats), FEATURE).select(
+    return measurements.join(stats, FEATURE).select(
         *SAMPLE,
         "feature_id",
         F.coalesce((F.col("value") - F.col("median")) / denominator, F.lit(0.0)).alias("z"),
@@ -172,14 +173,14 @@ def imputed_mad(measurements: DataFrame) -> DataFrame:
     """Median and MAD per feature after median imputation (missing cells deviate by 0)."""
     observed = measurements.where(F.col("value").isNotNull())
     bound = Q.largest_group(observed, FEATURE)
-    medians = observed_median(observed, bound)
+    medians = model_table(observed_median(observed, bound))
     holes = medians.join(sample_counts(measurements), "dataset_id").select(
         *FEATURE,
         F.lit(0.0).alias("_dev"),
         (F.col("n_samples") - F.col("n_observed")).alias("_times"),
     )
     deviations = (
-        observed.join(checked_broadcast(medians), FEATURE)
+        observed.join(medians, FEATURE)
         .select(
             *FEATURE,
             F.abs(F.col("value") - F.col("median")).alias("_dev"),

@@ -16,14 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..runtime import cut
+from ..runtime import attach_models, cut
 from . import robust as R
 from .ranks import ranked_pairs
 from .tiles import matrix
 
 #: Scores and distances are compared after rounding to this many decimals.
 SCORE_DIGITS = 12
-RULES = "array<struct<cluster:int,pair_no:bigint,direction:int,weight:double>>"
+RULES = "array<struct<cluster:int,rule_rank:int,pair_no:bigint,direction:int,weight:double,support:double,contrast:double>>"
 
 # ---------------------------------------------------------------- input rows
 
@@ -241,11 +241,11 @@ def prevalence(rows: DataFrame, max_pairs: int) -> DataFrame:
     )
 
 
-def contrasts(counts: DataFrame) -> DataFrame:
+def contrasts(counts: DataFrame, *carried: str) -> DataFrame:
     """Support, direction and contrast per (dataset, cluster, pair).
 
     ``counts(dataset_id, cluster, pair_no, ones, n)``.  The contrast is against the share over all
-    samples, the cluster's own included.
+    samples, the cluster's own included.  ``carried`` columns are kept.
     """
     whole = W.partitionBy("dataset_id", "pair_no")
     share = F.col("ones") / F.col("n")
@@ -259,14 +259,15 @@ def contrasts(counts: DataFrame) -> DataFrame:
         up.cast("int").alias("direction"),
         support.alias("support"),
         (support - F.when(up, everyone).otherwise(1.0 - everyone)).alias("contrast"),
+        *carried,
     )
 
 
 def build_prototypes(
-    counts: DataFrame, max_rules: int, min_support: float, min_contrast: float
+    counts: DataFrame, max_rules: int, min_support: float, min_contrast: float, *carried: str
 ) -> DataFrame:
     """Strongest rules per cluster: those above both limits, or all pairs if none is; at most ``max_rules``."""
-    scored = contrasts(counts)
+    scored = contrasts(counts, *carried)
     cluster = W.partitionBy("dataset_id", "cluster")
     strong = (F.col("support") >= min_support) & (F.col("contrast") >= min_contrast)
     marked = scored.withColumn("_strong", strong).withColumn("_any", F.max(strong).over(cluster))
@@ -286,24 +287,21 @@ def rule_weight(support: Column, contrast: Column) -> Column:
 
 
 def _rules_of(prototypes: DataFrame) -> DataFrame:
+    """Rules of each dataset as one array, with the largest ``changed`` and smallest ``n`` seen."""
     rule = F.struct(
         F.col("cluster").cast("int").alias("cluster"),
-        "rule_rank",
+        F.col("rule_rank").cast("int").alias("rule_rank"),
         "pair_no",
         F.col("direction").alias("direction"),
         rule_weight(F.col("support"), F.col("contrast")).alias("weight"),
+        "support",
+        "contrast",
     )
-    listed = F.array_sort(F.collect_list(rule))
-    slim = F.transform(
-        listed,
-        lambda r: F.struct(
-            r["cluster"].alias("cluster"),
-            r["pair_no"].alias("pair_no"),
-            r["direction"].alias("direction"),
-            r["weight"].alias("weight"),
-        ),
+    return prototypes.groupBy("dataset_id").agg(
+        F.array_sort(F.collect_list(rule)).cast(RULES).alias("_next"),
+        F.max("_changed").alias("_changed"),
+        F.min("_smallest").alias("_smallest"),
     )
-    return prototypes.groupBy("dataset_id").agg(slim.cast(RULES).alias("rules"))
 
 
 def named_rules(prototypes: DataFrame, selected: DataFrame, max_pairs: int) -> DataFrame:
@@ -337,7 +335,7 @@ def initial_seeds(rows: DataFrame, k: int, max_pairs: int) -> DataFrame:
     )
     for _ in range(k):
         best = (
-            rows.join(state, "dataset_id")
+            attach_models(rows, state, "dataset_id", 16 * max_pairs)
             .mapInArrow(_farthest(max_pairs), "dataset_id string, far double, sample_id string, x array<double>")
             .groupBy("dataset_id")
             .agg(F.expr("min(struct(far, sample_id, x)) AS b"))
@@ -372,8 +370,10 @@ def fit(
     if k < 2:
         raise ValueError("k must be at least 2")
     selected = cut(select_features(measurements, feature_budget))
-    rows = cut(fit_rows(measurements, selected))
+    # neighbours of one dataset share Arrow batches and therefore partial counts
+    rows = cut(fit_rows(measurements, selected).sortWithinPartitions("dataset_id"))
     seeds = initial_seeds(rows, k, max_pairs)
+    model_bytes = 64 * (k * (max_rules + feature_budget) + 16)
     state = cut(
         seeds.select(
             "dataset_id",
@@ -384,37 +384,42 @@ def fit(
             F.lit(0).alias("iterations"),
             F.lit(False).alias("converged"),
             F.lit(None).cast(RULES).alias("rules"),
+            F.lit(False).alias("torn"),
         )
     )
-    prototypes = None
-    for step in range(max_iter + 1):
-        active = state.where("NOT converged")
-        if not active.limit(1).count():
-            break
-        counts, state = _settle(rows, state, k, max_pairs)
-        built = cut(build_prototypes(_exploded(counts), max_rules, min_support, min_contrast))
-        prototypes = built if prototypes is None else cut(
-            prototypes.join(active.select("dataset_id"), "dataset_id", "left_anti").unionByName(built)
-        )
-        still = counts.groupBy("dataset_id").agg(F.sum("changed").alias("_changed"))
+
+    def advance(current: DataFrame, step: int) -> DataFrame:
+        """Label with ``now``, build the next rules from those labels, note what changed."""
+        counts = _exploded(_counts(rows, current, k, max_pairs, False, model_bytes))
+        built = build_prototypes(counts, max_rules, min_support, min_contrast, "_changed", "_smallest")
         done = "_changed = 0" if step else "false"
-        state = cut(
-            state.join(still, "dataset_id", "left")
-            .join(_rules_of(built).withColumnRenamed("rules", "_next"), "dataset_id", "left")
-            .selectExpr(
-                "dataset_id",
-                f"if(_next IS NULL OR ({done}), now, CAST(struct(_next AS rules, now.seeds AS seeds, CAST(NULL AS map<string,int>) AS moved) AS {_MODEL})) AS now",
-                "now AS before",
-                f"if(_next IS NULL, iterations, {step}) AS iterations",
-                f"converged OR (_next IS NOT NULL AND {done}) AS converged",
-                "coalesce(_next, rules) AS rules",
-            )
+        return current.join(_rules_of(built), "dataset_id", "left").selectExpr(
+            "dataset_id",
+            f"if(_next IS NULL OR ({done}), now, CAST(struct(_next AS rules, now.seeds AS seeds, CAST(NULL AS map<string,int>) AS moved) AS {_MODEL})) AS now",
+            "now AS before",
+            f"if(_next IS NULL, iterations, {step}) AS iterations",
+            f"converged OR (_next IS NOT NULL AND {done}) AS converged",
+            "coalesce(_next, rules) AS rules",
+            "coalesce(_smallest = 0, false) AS torn",
         )
+
+    for step in range(max_iter + 1):
+        following = cut(advance(state, step))
+        flags = following.agg(F.max("torn").alias("torn"), F.min("converged").alias("all_done")).first()
+        if flags["torn"]:
+            # some cluster lost all members: repair those datasets' labels and repeat the round
+            state = cut(_repaired(rows, state, following, k, max_pairs, model_bytes))
+            following = cut(advance(state, step))
+            flags = following.agg(F.min("converged").alias("all_done")).first()
+        state = following
+        if flags["all_done"]:
+            break
     # `before` labelled the samples from which the final rules were built
     final = state.select("dataset_id", F.col("before").alias("labelled_by"), "rules")
-    labels = rows.join(final, "dataset_id").mapInArrow(
+    labels = attach_models(rows, final, "dataset_id", 2 * model_bytes).mapInArrow(
         _final_labels(k, max_pairs), "dataset_id string, sample_id string, cluster int, score_margin double"
     )
+    prototypes = state.select("dataset_id", F.explode("rules").alias("r")).select("dataset_id", "r.*")
     return {
         "rules": named_rules(prototypes, selected, max_pairs),
         "labels": labels,
@@ -426,16 +431,20 @@ def fit(
 _COUNTS = "dataset_id string, cluster int, n bigint, ones array<bigint>, changed bigint, least array<struct<margin:double,sample_id:string>>"
 
 
-def _settle(rows, state, k, max_pairs):
-    """Counts of the current labels, after repairing empty clusters where there are any."""
+def _counts(
+    rows: DataFrame, state: DataFrame, k: int, max_pairs: int, loose: bool, model_bytes: int
+) -> DataFrame:
     work = state.where("NOT converged").select("dataset_id", "now", "before")
-    counts = cut(rows.join(work, "dataset_id").mapInArrow(_round_counts(k, max_pairs, False), _COUNTS))
-    sizes = counts.groupBy("dataset_id", "cluster").agg(F.sum("n").alias("n"))
-    empty = sizes.where("n = 0").select("dataset_id").distinct()
-    if not empty.limit(1).count():
-        return counts, state
-    broken = rows.join(work, "dataset_id").join(empty, "dataset_id", "left_semi")
-    loose = broken.mapInArrow(_round_counts(k, max_pairs, True), _COUNTS)
+    joined = attach_models(rows, work, "dataset_id", 2 * model_bytes)
+    return joined.mapInArrow(_round_counts(k, max_pairs, loose), _COUNTS)
+
+
+def _repaired(
+    rows: DataFrame, state: DataFrame, following: DataFrame, k: int, max_pairs: int, model_bytes: int
+) -> DataFrame:
+    """``state`` with sample moves that fill the empty clusters of the datasets that have any."""
+    torn = following.where("torn").select("dataset_id")
+    loose = _counts(rows, state.join(torn, "dataset_id", "left_semi"), k, max_pairs, True, model_bytes)
     # at most k candidates per cluster and task survive into this per-dataset row
     clusters = (
         loose.groupBy("dataset_id", "cluster")
@@ -447,27 +456,33 @@ def _settle(rows, state, k, max_pairs):
         .agg(F.collect_list(F.struct("cluster", "n", "least")).alias("clusters"))
         .mapInArrow(_repairs(k), "dataset_id string, moved map<string,int>")
     )
-    state = cut(
-        state.join(moves, "dataset_id", "left").selectExpr(
-            "dataset_id",
-            f"if(moved IS NULL, now, CAST(struct(now.rules AS rules, now.seeds AS seeds, moved AS moved) AS {_MODEL})) AS now",
-            "before",
-            "iterations",
-            "converged",
-            "rules",
-        )
+    return state.join(moves, "dataset_id", "left").selectExpr(
+        "dataset_id",
+        f"if(moved IS NULL, now, CAST(struct(now.rules AS rules, now.seeds AS seeds, moved AS moved) AS {_MODEL})) AS now",
+        "before",
+        "iterations",
+        "converged",
+        "rules",
+        "torn",
     )
-    work = state.where("NOT converged").select("dataset_id", "now", "before")
-    return cut(rows.join(work, "dataset_id").mapInArrow(_round_counts(k, max_pairs, False), _COUNTS)), state
 
 
 def _exploded(counts: DataFrame) -> DataFrame:
-    """Task counts -> one row per (dataset, cluster, pair)."""
-    return (
-        counts.select("dataset_id", "cluster", "n", F.posexplode("ones").alias("pair_no", "ones"))
+    """Task counts -> one row per (dataset, cluster, pair), with the dataset's changed labels and smallest cluster."""
+    summed = (
+        counts.select("dataset_id", "cluster", "n", "changed", F.posexplode("ones").alias("pair_no", "ones"))
         .groupBy("dataset_id", "cluster", "pair_no")
-        .agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
-        .withColumn("pair_no", F.col("pair_no").cast("bigint"))
+        .agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.sum("changed").alias("changed"))
+    )
+    dataset = W.partitionBy("dataset_id")
+    return summed.select(
+        "dataset_id",
+        "cluster",
+        F.col("pair_no").cast("bigint").alias("pair_no"),
+        "ones",
+        "n",
+        F.max("changed").over(dataset).alias("_changed"),
+        F.min("n").over(dataset).alias("_smallest"),
     )
 
 
@@ -586,7 +601,7 @@ def assign(
 
     ``accepted_cluster`` is NULL for UNASSIGNED.  ``models`` is the table of :func:`rule_model`.
     """
-    joined = samples.join(models, "model_id")
+    joined = attach_models(samples, models, "model_id", 1 << 16)
     scored = joined.withColumn("scores", rule_scores(F.col("features"), F.col("rules"), F.col("k")))
     decided = decide(scored, "scores", F.col("k"), min_score, min_margin)
     return decided.select(

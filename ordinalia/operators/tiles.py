@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import HYBRID_PREFIX
-from ..runtime import at_most, checked_broadcast, cut
+from ..runtime import at_most, cut, model_table
 
 #: Rows per block: bounds the memory of one task and the size of one packed row.
 BLOCK_ROWS = 512
@@ -173,7 +173,7 @@ def pack(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     leaves it in place.
     """
     sizes = points.groupBy("space_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = points.join(checked_broadcast(sizes), "space_id")
+    sized = points.join(model_table(sizes), "space_id")
     blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
     member = F.col("member") if "member" in points.columns else F.array(F.lit(True))
     row = F.struct("sample_id", "z", "q", member.alias("member"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Largest table (rows) that may be sent to every executor.
 BROADCAST_ROWS = 100_000
+#: Largest model table with wide rows (bytes) that may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -46,6 +48,24 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+#: Copies of a model table for a join whose model side is too large to broadcast.
+SALTS = 32
+
+
+def attach_models(rows: DataFrame, models: DataFrame, key: str, row_bytes: int = 4096) -> DataFrame:
+    """Join every row to the one model row (or few model rows) of its ``key``.
+
+    A model table of at most ``BROADCAST_BYTES`` (counted rows times ``row_bytes``) is broadcast, so the
+    rows stay where they are.  A larger one is joined on (key, salt): a key that holds a large share
+    of the rows is then spread over ``SALTS`` partitions.
+    """
+    if at_most(models, max(1, BROADCAST_BYTES // max(row_bytes, 1))):
+        return rows.join(F.broadcast(models), key)
+    spread = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("sample_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def model_table(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a fitted model table and hint a broadcast if its counted size allows it."""
     return checked_broadcast(cut(df), rows)
