@@ -248,7 +248,7 @@ def contrasts(counts: DataFrame, *carried: str) -> DataFrame:
     samples, the cluster's own included.  ``carried`` columns are kept.
     """
     whole = W.partitionBy("dataset_id", "pair_no")
-    share = F.col("ones") / F.col("n")
+    share = F.try_divide("ones", "n")  # NULL for a cluster that lost all members
     everyone = F.sum("ones").over(whole) / F.sum("n").over(whole)
     up = share >= 0.5
     support = F.when(up, share).otherwise(1.0 - share)

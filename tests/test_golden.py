@@ -392,7 +392,7 @@ def test_identical_rows_still_fill_all_rule_clusters(spark):
 def small_audit(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(40, 6))
-    x[:20, :3] += 6.0
+    x[:20] += 6.0
     m = measurements(spark, x.tolist(), samples=[f"s{i:02d}" for i in range(40)]).cache()
     config = A.AuditConfig(k=2, feature_budget=6, relation_budget=10, resamples=2, seed=3)
     return m, config, A.audit(m, config)
