@@ -448,7 +448,7 @@ def rejections(spark, sf):
                 ON o.nation = w.nation AND o.decision = w.decision WHERE w.pos = 1 AND o.method_id IS NOT NULL)""",
         ],
         f"""SELECT w.nation::varchar AS dataset_id, w.decision, {L.r6('votes / total')} AS confidence, (votes / total < 0.6) AS uncertain,
-        sm.method_id AS selected_method, {L.r6('sm.q_score')} AS q_score, {L.r6('least(1.0, thr_v)')} AS null_threshold
+        sm.method_id AS selected_method, {L.r6('sm.q_score')} AS q_score, {L.r6('CASE WHEN thr_v IS NOT NULL THEN least(1.0, thr_v) END')} AS null_threshold
         FROM win w LEFT JOIN sm ON sm.nation = w.nation AND sm.pos = 1 LEFT JOIN thr ON thr.method_id = sm.method_id WHERE w.pos = 1""",
     ),
 )

@@ -65,6 +65,14 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also where ``body`` uses it inside a lambda.
+
+    Without it the optimiser may copy a computed column into a lambda and evaluate it per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -82,9 +90,4 @@ def euclidean(left: Column, right: Column) -> Column:
 
 
 def centred(values: Column) -> Column:
-    mean = array_mean(values)
-    return F.transform(values, lambda x: x - mean)
-
-
-def argmax_struct(items: Column) -> Column:
-    return F.array_max(items)
+    return let(array_mean(values), lambda mean: F.transform(values, lambda x: x - mean))

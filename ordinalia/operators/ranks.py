@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
 from ..runtime import BROADCAST_ROWS, at_most, model_table
 from .robust import FEATURE, SAMPLE
 
@@ -56,18 +57,16 @@ def profile_rows(
     lookup = F.map_from_entries(
         F.transform("_cells", lambda c: F.struct(c["_pos"], F.struct(c["value"], c["q"])))
     )
-    rows = rows.withColumn("_map", F.when(~complete, lookup))
     positions = F.sequence(F.lit(0), F.size("feature_ids") - 1)
 
     def aligned(field: str) -> Column:
-        return F.when(complete, F.transform("_cells", lambda c: c[field])).otherwise(
-            F.transform(positions, lambda p: F.col("_map")[p][field])
-        )
+        found = X.let(lookup, lambda m: F.transform(positions, lambda p: m[p][field]))
+        return F.when(complete, F.transform("_cells", lambda c: c[field])).otherwise(found)
 
     return (
         rows.withColumn("x", aligned("value"))
         .withColumn("q", aligned("q"))
-        .drop("_cells", "_map")
+        .drop("_cells")
     )
 
 

@@ -544,12 +544,12 @@ def rule_scores(values: Column, rules: Column, k: Column) -> Column:
     A pure row expression: the same for one row, a batch or a stream.
     """
 
-    def one(cluster: Column) -> Column:
+    def one(known_values: Column, cluster: Column) -> Column:
         mine = F.filter(rules, lambda r: r["cluster"] == cluster)
         start = F.struct(F.lit(0.0).alias("hit"), F.lit(0.0).alias("all"))
 
         def add(acc, r):
-            a, b = values[r["feature_a"]], values[r["feature_b"]]
+            a, b = known_values[r["feature_a"]], known_values[r["feature_b"]]
             known = a.isNotNull() & b.isNotNull()
             right = known & ((a > b) == r["up"])
             return F.struct(
@@ -560,7 +560,7 @@ def rule_scores(values: Column, rules: Column, k: Column) -> Column:
         total = F.aggregate(mine, start, add)
         return F.when(total["all"] > 0, total["hit"] / total["all"])
 
-    return F.transform(F.sequence(F.lit(0), k - 1), one)
+    return X.let(values, lambda v: F.transform(F.sequence(F.lit(0), k - 1), lambda c: one(v, c)))
 
 
 def decide(df: DataFrame, scores: str, k: Column, min_score: float, min_margin: float) -> DataFrame:
@@ -614,7 +614,3 @@ def feature_maps(measurements: DataFrame, keys: list[str] | None = None) -> Data
     keys = keys or R.SAMPLE
     entry = F.when(F.col("value").isNotNull(), F.struct("feature_id", "value"))
     return measurements.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("features"))
-
-
-def clip_share(value: Column) -> Column:
-    return X.clip(value, 0.0, 1.0)

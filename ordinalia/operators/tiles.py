@@ -92,6 +92,11 @@ class Geometry:
             cache[method] = np.round(self._raw(a, b, method, cache), DISTANCE_DIGITS)
         return cache[method]
 
+    def _states_of(self, block: dict) -> np.ndarray:
+        if "states" not in block:
+            block["states"] = _states(block["q"], self.relations)
+        return block["states"]
+
     def _raw(self, a: dict, b: dict, method: str, cache: dict) -> np.ndarray:
         if method == "V_EUC_PAM":
             return _euclidean(a["z"], b["z"])
@@ -100,8 +105,7 @@ class Geometry:
         if method == "R_FOOT_PAM":
             return _footrule(a["q"], b["q"])
         if method == "R_PAIR_PAM":
-            weights = self.relations["weight"]
-            return _hamming(_states(a["q"], self.relations), _states(b["q"], self.relations), weights)
+            return _hamming(self._states_of(a), self._states_of(b), self.relations["weight"])
         alpha = int(method[len(HYBRID_PREFIX) :].split("_")[0]) / 100.0
         value = self.between(a, b, "V_EUC_PAM", cache)
         pair = self.between(a, b, "R_PAIR_PAM", cache)
@@ -291,8 +295,7 @@ def _costs_of_pair(plain: dict, sides: list, swapping: bool, every_candidate: bo
             bad = np.isnan(d).sum(axis=0)
             state, current = None, job["medoids"] or []
             if current:
-                members = {name: rows[name][inside] for name in ("z", "q")}
-                state = _nearest(space.between(members, medoid_block(current), method, {}))
+                state = _nearest(space.between(rows, medoid_block(current), method, {})[inside])
             costs = np.round(
                 _candidate_costs(np.nan_to_num(d), state, len(current), swapping), COST_DIGITS
             )
