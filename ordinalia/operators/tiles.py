@@ -216,7 +216,7 @@ def block_pairs(points: DataFrame, params: DataFrame, block_rows: int = BLOCK_RO
         apart = packed.join(partner, ["space_id", "block"]).withColumnRenamed("rows", "left")
         own = own.unionByName(apart)
     # a fixed number of partitions: one tile is few bytes but much arithmetic, so tiles must not be coalesced
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return own.repartition(parts, "space_id", "block").persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -261,8 +261,10 @@ def _candidate_costs(d: np.ndarray, state, k: int, swapping: bool) -> np.ndarray
     total = kept.sum(axis=0)[:, None]
     if not swapping:
         return total
-    loss = np.minimum(d, second[:, None]) - kept
-    return total + np.stack([loss[near == m].sum(axis=0) for m in range(k)], axis=1)
+    loss = np.minimum(d, second[:, None])
+    loss -= kept
+    owned = (near[None, :] == np.arange(k)[:, None]).astype(float)
+    return total + (owned @ loss).T
 
 
 def _tile_costs(swapping: bool, every_candidate: bool):
@@ -282,22 +284,27 @@ def _tile_costs(swapping: bool, every_candidate: bool):
 
 
 def _costs_of_pair(plain: dict, sides: list, swapping: bool, every_candidate: bool) -> pa.RecordBatch:
-    space, cache = geometry_of(plain), {}
+    space, cache, holes = geometry_of(plain), {}, {}
     out = {"run_id": [], "block": [], "sample_id": [], "costs": [], "undefined": []}
     for turn, (rows, cols, block) in enumerate(sides):
         for job in plain["runs"]:
             method, no = job["method_id"], job["member_no"]
             full = space.between(sides[0][0], sides[0][1], method, cache)
+            if method not in holes:
+                holes[method] = bool(np.isnan(full).any())
             full = full if turn == 0 else full.T
             inside, outside = rows["member"][:, no], cols["member"][:, no]
-            d = full[np.ix_(inside, outside)]
+            d = full if inside.all() and outside.all() else full[np.ix_(inside, outside)]
             ids = np.array(cols["id"], dtype=object)[outside]
-            bad = np.isnan(d).sum(axis=0)
+            bad = np.zeros(len(ids), dtype=np.int64)
+            if holes[method]:
+                bad = np.isnan(d).sum(axis=0)
+                d = np.nan_to_num(d)
             state, current = None, job["medoids"] or []
             if current:
                 state = _nearest(space.between(rows, medoid_block(current), method, {})[inside])
             costs = np.round(
-                _candidate_costs(np.nan_to_num(d), state, len(current), swapping), COST_DIGITS
+                _candidate_costs(d, state, len(current), swapping), COST_DIGITS
             )
             keep = ~np.isin(ids, [m["sample_id"] for m in current])
             if not every_candidate and keep.any():
