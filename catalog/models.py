@@ -13,7 +13,7 @@ from ordinalia.operators import tiles as T
 from ordinalia.operators import transfer as TR
 from ordinalia.plans import gates as G
 from ordinalia.plans import pipelines as PL
-from ordinalia.runtime import cut, ensure_checkpoint_dir
+from ordinalia.runtime import checked_broadcast, cut, ensure_checkpoint_dir
 from ordinalia.streaming import assign as STR
 
 from . import inputs as I
@@ -39,7 +39,7 @@ def _smallest_ids(points, count: int):
         F.col("_at") <= count
     )
     return (
-        points.join(F.broadcast(cut(first)), ["space_id", "sample_id"])
+        points.join(checked_broadcast(cut(first)), ["space_id", "sample_id"])
         .groupBy("space_id")
         .agg(F.array_sort(F.collect_list(F.struct("sample_id", "z", "q"))).cast(T.MEDOIDS).alias("medoids"))
     )

@@ -169,21 +169,24 @@ def no_relations() -> list[Column]:
 # ---------------------------------------------------------------- packing
 
 
-def pack(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def space_sizes(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number of blocks per space, one small materialised row each."""
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
+    return model_table(points.groupBy("space_id").agg(blocks.alias("_blocks")))
+
+
+def pack(points: DataFrame, sizes: DataFrame) -> DataFrame:
     """``points(space_id, sample_id, z, q[, member])`` -> one row per block, rows sorted by sample id.
 
     A sample's block depends on its id and the size of its space only, so tiles are the same on any
     partition layout.  The result is partitioned by (space, block); persist it and every join below
     leaves it in place.
     """
-    sizes = points.groupBy("space_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = points.join(model_table(sizes), "space_id")
-    blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
+    sized = points.join(sizes, "space_id")
     member = F.col("member") if "member" in points.columns else F.array(F.lit(True))
     row = F.struct("sample_id", "z", "q", member.alias("member"))
     return (
-        sized.withColumn("_blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("_blocks")).cast("int"))
+        sized.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("_blocks")).cast("int"))
         .groupBy("space_id", "block")
         .agg(F.first("_blocks").alias("blocks"), F.array_sort(F.collect_list(row), _by_id).alias("rows"))
     )
@@ -201,13 +204,17 @@ def block_pairs(points: DataFrame, params: DataFrame, block_rows: int = BLOCK_RO
     ``right`` is NULL where a block meets itself.  The table is partitioned by (space, block): a hot
     space is spread over its blocks and later joins on (space, block) leave the big side in place.
     """
-    packed = pack(points, block_rows).join(params.select("space_id", *PARAM_COLUMNS), "space_id")
+    sizes = space_sizes(points, block_rows)
+    extent = sizes.agg(
+        F.max("_blocks").alias("blocks"), F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2).alias("tiles")
+    ).first()
+    packed = pack(points, sizes).join(params.select("space_id", *PARAM_COLUMNS), "space_id")
     nothing = F.lit(None).cast(packed.schema["rows"].dataType)
     own = packed.select(
         "space_id", "block", F.col("block").alias("other"), "blocks",
         F.col("rows").alias("left"), nothing.alias("right"), *PARAM_COLUMNS,
     )
-    if not at_most(packed.where(F.col("blocks") > 1), 0):
+    if (extent["blocks"] or 0) > 1:
         # each pair is anchored at one of its two blocks, alternating, so that anchors get equal work
         anchors = "filter(sequence(0, blocks - 1), a -> if(a < block, (a + block) % 2 = 0, a > block AND (a + block) % 2 = 1))"
         partner = packed.where("blocks > 1").selectExpr(
@@ -216,7 +223,9 @@ def block_pairs(points: DataFrame, params: DataFrame, block_rows: int = BLOCK_RO
         apart = packed.join(partner, ["space_id", "block"]).withColumnRenamed("rows", "left")
         own = own.unionByName(apart)
     # a fixed number of partitions: one tile is few bytes but much arithmetic, so tiles must not be coalesced
-    parts = 2 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = points.sparkSession
+    enough = max(2 * spark.sparkContext.defaultParallelism, int(extent["tiles"] or 0))
+    parts = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), enough)
     return own.repartition(parts, "space_id", "block").persist(StorageLevel.MEMORY_AND_DISK)
 
 
