@@ -446,3 +446,27 @@ def test_evaluation_needs_frozen_runs(spark):
     V.evaluation_gate(expected.where("run_id = 'a'"), done, inventory, "v1")
     with pytest.raises(ValueError, match="damaged"):
         V.evaluation_gate(expected.where("run_id = 'a'"), done, inventory, "v2")
+
+
+def test_salted_model_join_equals_broadcast(spark, monkeypatch):
+    from ordinalia import runtime
+
+    rows = spark.createDataFrame([(k, f"s{i}") for k in ("a", "b") for i in range(40)], "key string, sample_id string")
+    models = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "key string, m int")
+    want = sorted(map(tuple, runtime.attach_models(rows, models, "key").collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    salted = runtime.attach_models(rows, models, "key")
+    assert sorted(map(tuple, salted.select("key", "sample_id", "m").collect())) == want
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "broadcast" not in plan.lower()
+
+
+def test_checkpoint_folder_is_read_from_the_session(spark):
+    from ordinalia import runtime
+
+    before = spark.sparkContext.getCheckpointDir()
+    runtime.ensure_checkpoint_dir(spark)
+    after = spark.sparkContext.getCheckpointDir()
+    assert after is not None and (before is None or before == after)
+    frame = runtime.cut(spark.range(3))
+    assert frame.count() == 3
