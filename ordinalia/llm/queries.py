@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ordinalia.llm import packing, pieces, rules, secrets
-from ordinalia.llm.common import table
+from ordinalia.llm import packing, pieces, quality, rules, secrets, toxicity
+from ordinalia.llm.common import crc32_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,3 +54,21 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_of_id() % 3 == 1
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return quality.scored(rows, model).drop("text")
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_of_id() % 5 == 0
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return toxicity.scored(rows, lexicon).drop("text")
