@@ -121,6 +121,7 @@ def learn_lexicon(rows: Iterable[tuple[str, int]]) -> Lexicon:
         error = math.sqrt(1 / a + 1 / b)
         if odds - ERRORS * error > FLOOR:
             entries[entry] = round(odds - ERRORS * error, 4)
+    entries = _spread(docs, entries, seen[1])
     # a start that says no more than one longer entry goes; then what a remaining start covers goes
     for entry in sorted((e for e in entries if e.endswith("*")), key=len, reverse=True):
         if any(other.startswith(entry[:-1]) and weight > entries[entry] - 0.25 for other, weight in entries.items() if other != entry):
@@ -139,6 +140,19 @@ def learn_lexicon(rows: Iterable[tuple[str, int]]) -> Lexicon:
     return lexicon
 
 
+def _spread(docs: list[tuple[str, int]], entries: dict[str, float], rows: Counter) -> dict[str, float]:
+    """Entries that follow different words in the toxic rows; those that come with one copied passage go."""
+    before: dict[str, set[str]] = {entry: set() for entry in entries}
+    for text, label in docs:
+        if label:
+            words = WORD.findall(text)
+            for last, word in zip(["", *words], words):
+                for entry in (word, *(f"{word[:n]}*" for n in STARTS if len(word) > n)):
+                    if entry in before:
+                        before[entry].add(last)
+    return {entry: weight for entry, weight in entries.items() if 2 * len(before[entry]) >= rows[entry]}
+
+
 def _exceptions(docs: list[tuple[str, int]], entries: dict[str, float]) -> set[str]:
     """Two-word phrases with an entry that are far commoner in rows that are not toxic."""
     plain, toxic = Counter(), Counter()
