@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ordinalia.llm import packing, pieces, quality, rules, secrets, toxicity
+from ordinalia.llm import ngram_join, packing, pieces, quality, rules, secrets, toxicity
 from ordinalia.llm.common import crc32_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     return toxicity.scored(rows, lexicon).drop("text")
+
+
+@register
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.linked(docs, n=3, threshold=(90, 100))
