@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """One object per worker process and name.
+
+    This package travels with the functions that tasks run, so its module variables are new in each task; what
+    should outlive a task (a loaded vocabulary, a memory of words) hangs on the process.
+    """
+    store = sys.__dict__.setdefault("_ordinalia_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]

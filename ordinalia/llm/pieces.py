@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import text_of
+from ordinalia.llm.common import kept, text_of
 
 MARK = "▁"
-#: Segments kept per task.
+#: Segments kept per worker process.
 MEMORY = 400_000
-_loaded: dict[str, Codec] = {}
 
 
 class CharacterMap:
@@ -207,9 +206,8 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
+    """One codec per worker process and file."""
+    return kept(f"pieces {path}", lambda: Codec(path))
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -236,8 +234,8 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [model.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    kept = docs.drop(*[c for c in ("decoded",) if c in docs.columns])
-    return kept.mapInArrow(run, kept.withColumn("decoded", F.lit("")).schema)
+    rest = docs.drop("decoded")
+    return rest.mapInArrow(run, rest.withColumn("decoded", F.lit("")).schema)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -272,7 +270,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _mapped(docs: DataFrame, path: str, text: str, row, added: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
-    kept = docs.drop(*[c for c in added if c in docs.columns and c != text])
+    rest = docs.drop(*[c for c in added if c in docs.columns and c != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -282,5 +280,5 @@ def _mapped(docs: DataFrame, path: str, text: str, row, added: dict[str, tuple[s
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(added.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    schema = kept.select("*", *[F.lit(None).cast(kind).alias(name) for name, (kind, _) in added.items()]).schema
-    return kept.mapInArrow(run, schema)
+    schema = rest.select("*", *[F.lit(None).cast(kind).alias(name) for name, (kind, _) in added.items()]).schema
+    return rest.mapInArrow(run, schema)
