@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ordinalia.llm import ngram_join, packing, pieces, quality, rules, secrets, toxicity
+from ordinalia.llm import neighbours, ngram_join, packing, pieces, quality, rules, secrets, toxicity
 from ordinalia.llm.common import crc32_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.linked(docs, n=3, threshold=(90, 100))
+
+
+@register
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, F.col("id") % 50 == 0)
