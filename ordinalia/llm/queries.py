@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ordinalia.llm import neighbours, ngram_join, packing, pieces, quality, rules, secrets, toxicity
+import corpus_pipeline
+from ordinalia.llm import language, licences, neighbours, ngram_join, packing, pieces, quality, rules, secrets, toxicity
 from ordinalia.llm.common import crc32_of_id, table
+from ordinalia.runtime import checked_broadcast, cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Stages change the whole corpus in turn; see corpus_pipeline.py.
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def register(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -84,3 +92,24 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(rows, F.col("id") % 50 == 0)
+
+
+@register
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("bigint").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join(F.array_distinct("licences.licence"), ",").alias("licences"),
+        F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["licence"], x["start"], x["end"])), ",").alias("spans"),
+    )
+
+
+@register
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    # 8 bytes a label; more labels than the checked bound join by a shuffle
+    models = language.fit(docs.join(checked_broadcast(cut(good), 1_000_000), "doc_id", "left"))
+    return language.scored(docs, models)

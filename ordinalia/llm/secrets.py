@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ordinalia.llm.common import text_of
-from ordinalia.runtime import cut
+from ordinalia.llm.common import text_of, written
+from ordinalia.runtime import checked_broadcast, cut
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns of the base kinds (ASCII letters only are folded).
@@ -187,10 +187,10 @@ def thresholds(tested: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int
     return {(r["encoding"], r["band"]): r["bin"] for r in rows.collect()}
 
 
-def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", fdr: float = FDR, with_text: bool = False) -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of struct(start, kind, end), sorted; ``kind`` is the place in KINDS.
 
-    The text column is dropped, other columns stay.  ``spans`` holds the base spans and the random tokens that touch
+    The text column is dropped unless ``with_text`` is set, other columns stay.  ``spans`` holds the base spans and the random tokens that touch
     no base span.  A null or empty text has no spans; repeated rows stay repeated.
     """
     docs = docs.drop(*[c for c in ("base", "spans", "_t", "_tokens", "_row") if c in docs.columns and c != text])
@@ -213,10 +213,10 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
                 ),
             ),
         )
-        .drop("_t", *([text] if text in docs.columns else []))
+        .drop("_t", *([] if with_text else [text]))
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    found = cut(found)
+    found = written(found) if with_text else cut(found)  # row numbers are stored with the rows
     tokens = found.select("_row", F.explode("_tokens").alias("x")).select("_row", "x.*")
     tested = (
         battery(tokens)
@@ -238,7 +238,7 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return (
         found.drop("_tokens")
-        .join(added, "_row", "left")
+        .join(checked_broadcast(cut(added)), "_row", "left")
         .withColumn("spans", F.sort_array(F.concat("base", F.coalesce("_added", none))))
         .drop("_row", "_added")
     )
