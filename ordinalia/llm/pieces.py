@@ -133,7 +133,8 @@ class Codec:
             if new:
                 made = new.replace(b" ", space)
                 out += made
-                align += [start] * len(made)
+                copied = made == source[start : start + length]  # byte for byte; else all bytes come from the start
+                align += range(start, start + length) if copied else [start] * len(made)
                 after_space = new.endswith(b" ")
             end = start + length
             if not self.trimmed:

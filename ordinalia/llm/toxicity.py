@@ -37,7 +37,8 @@ PER_CLASS, CODE_POINTS, ENTRIES, STARTS = 4000, 60_000_000, 20_000, (3, 4, 5, 6)
 #: A word enters if the lower end of its log-odds (this many standard errors) is above the floor,
 #: and if so many toxic rows, and such a share of them, hold it.
 ERRORS, FLOOR, LEAST_ROWS, LEAST_SHARE = 2.0, 1.5, 4, 0.005
-EXCEPTION_ROWS = 5
+#: Words that an entry must follow at least (or half as many as the toxic rows that hold it); rows for an exception.
+CONTEXTS, EXCEPTION_ROWS = 8, 5
 
 
 def folded(text: str) -> str:
@@ -150,7 +151,7 @@ def _spread(docs: list[tuple[str, int]], entries: dict[str, float], rows: Counte
                 for entry in (word, *(f"{word[:n]}*" for n in STARTS if len(word) > n)):
                     if entry in before:
                         before[entry].add(last)
-    return {entry: weight for entry, weight in entries.items() if 2 * len(before[entry]) >= rows[entry]}
+    return {entry: weight for entry, weight in entries.items() if len(before[entry]) >= min(CONTEXTS, rows[entry] / 2)}
 
 
 def _exceptions(docs: list[tuple[str, int]], entries: dict[str, float]) -> set[str]:
