@@ -13,7 +13,7 @@ shared token (prefix filter), the first n - o + s hold s of them (extended prefi
 
 Documents with equal sets are one node (the digest of the set).  Nodes that share a key are verified on their whole
 sets.  Only connected components are wanted, so a key's nodes are first compared with one of them (a star), then
-with another; pairs whose ends are still in different components are compared after that, one by one: no link between
+with others, until the pairs that are still in different components are few; these are compared one by one: no link between
 different components is missed, and no group is multiplied out.  Everything is exact but for 64-bit token hashes.
 """
 
@@ -37,8 +37,8 @@ from ordinalia.runtime import at_most, cut
 FREQUENT, LISTED, MAP_BITS = 32, 2_000_000, 27
 #: Largest list of node digests (16 bytes each) that is sent to the tasks that look for their sets.
 SENT = 2_000_000
-#: Rounds of stars before the remaining pairs are compared one by one.
-STARS = 3
+#: Pairs are compared one by one as soon as there are at most PAIRS for each index entry, or after STARS rounds of stars.
+STARS, PAIRS = 6, 4
 WORDS_KEPT = 300_000
 SINGLE_UNDER = 8  # size classes below this index frequent tokens one by one
 
@@ -67,17 +67,26 @@ class _Words(dict):
         return value
 
 
-def tokens_of(text: str | None, n: int, words: _Words) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; fewer than n words are one n-gram, no words are none."""
-    found = (text or "").encode().lower().split()  # bytes: only A-Z are folded, only x20 and x09-x0D split
-    if not found:
+def tokens_of(text: bytes, n: int, words: _Words) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams; fewer than n words are one n-gram, no words are none.
+
+    ``text`` is UTF-8: of bytes only A-Z are folded, and only x20 and x09-x0D split.
+    """
+    found = text.lower().split()
+    size = len(found)
+    if not size:
         return np.zeros(0, dtype=np.uint64)
-    one = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found))
-    width = min(n, len(one))
-    made = np.full(len(one) - width + 1, width, dtype=np.uint64)
-    for i in range(width):
-        made = _mix(made + one[i : len(one) - width + 1 + i])
-    return np.unique(made)
+    one = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=size)
+    width = min(n, size)
+    factor = int(_A) + 2 * width  # odd; a short sequence differs from the n-grams that begin alike
+    made = np.zeros(size - width + 1, dtype=np.uint64)
+    for i in range(width):  # a polynomial of hashes that are uniform themselves
+        made = (made + one[i : size - width + 1 + i]) * np.uint64(factor)
+    made.sort()
+    fresh = np.empty(len(made), dtype=bool)
+    fresh[0] = True
+    np.not_equal(made[1:], made[:-1], out=fresh[1:])
+    return made if fresh.all() else made[fresh]
 
 
 def least_overlap(size, num: int, den: int):
@@ -139,29 +148,31 @@ def keys_of(tokens: np.ndarray, order: Order, num: int, den: int) -> np.ndarray:
 
 def _rows(docs: DataFrame, text: str, make, schema: str) -> DataFrame:
     """``make`` yields record batches from batches of whole texts."""
-    return docs.select(text_of(text).alias("text")).mapInArrow(make, schema)
+    return docs.select(text_of(text).cast("binary").alias("text")).mapInArrow(make, schema)
 
 
 def nodes(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ``n_shingles`` and ``node`` (digest of the set, null if it is empty) of every row."""
+    """key, ``n_shingles``, ``node`` (digest of the set, null if it is empty) and ``digest`` (of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         words = _Words()
         for batch in batches:
-            sizes, digests = [], []
-            for value in batch.column(1):
-                tokens = tokens_of(value.as_py(), n, words)
+            sizes, sets, texts = [], [], []
+            for value in batch.column(1).to_pylist():
+                tokens = tokens_of(value, n, words)
                 sizes.append(len(tokens))
-                digests.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
+                sets.append(xxhash.xxh3_128_digest(tokens) if len(tokens) else None)
+                texts.append(xxhash.xxh3_128_digest(value))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["key", "n_shingles", "node"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(texts, pa.binary())],
+                names=["key", "n_shingles", "node", "digest"],
             )
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), text_of(text).alias("text")).mapInArrow(
-        run, f"key {kind}, n_shingles bigint, node binary"
+    return docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("text")).mapInArrow(
+        run, f"key {kind}, n_shingles bigint, node binary, digest binary"
     )
 
 
@@ -179,7 +190,7 @@ def counted(docs: DataFrame, n: int, total: int, text: str = "text") -> Order:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            made = [tokens_of(x.as_py(), n, words) >> np.uint64(shift) for x in batch.column(0)]
+            made = [tokens_of(x, n, words) >> np.uint64(shift) for x in batch.column(0).to_pylist()]
             if not made:
                 continue
             short = np.sort(np.concatenate(made))
@@ -239,15 +250,17 @@ def shared_keys(docs: DataFrame, n: int, order: Order, num: int, den: int, text:
         words, own, seen = _Words(), Order(**sent.value), set()
         for batch in batches:
             made, digests, sizes = [], [], []
-            for value in batch.column(0):
-                tokens = tokens_of(value.as_py(), n, words)
-                node = xxhash.xxh3_128_digest(tokens.tobytes())
-                if not len(tokens) or node in seen:  # copies within a task are indexed once
+            for value in batch.column(0).to_pylist():
+                tokens = tokens_of(value, n, words)
+                keys = keys_of(tokens, own, num, den) if len(tokens) else tokens
+                if not len(keys):
                     continue
-                seen.add(node)
-                made.append(keys_of(tokens, own, num, den))
-                digests.append(node)
-                sizes.append(len(tokens))
+                node = xxhash.xxh3_128_digest(tokens)
+                if node not in seen:  # copies within a task are indexed once
+                    seen.add(node)
+                    made.append(keys)
+                    digests.append(node)
+                    sizes.append(len(tokens))
             if made:
                 doc = np.repeat(np.arange(len(made)), [len(k) for k in made])
                 yield pa.RecordBatch.from_arrays(
@@ -291,62 +304,67 @@ def shared_keys(docs: DataFrame, n: int, order: Order, num: int, den: int, text:
 
 
 def sets_of(docs: DataFrame, n: int, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """``node`` and ``tokens`` (little-endian 64-bit hashes) of the wanted nodes, one row each."""
+    """``node`` and ``tokens`` (little-endian 64-bit hashes), one row for each wanted ``digest`` of a text."""
     spark = docs.sparkSession
     few = at_most(wanted, SENT)
-    sent = spark.sparkContext.broadcast({bytes(r["node"]) for r in wanted.toLocalIterator()}) if few else None
+    sent = spark.sparkContext.broadcast({bytes(r["digest"]) for r in wanted.toLocalIterator()}) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         words, seen, asked = _Words(), set(), sent.value if sent else None
         for batch in batches:
-            nodes_, sets = [], []
-            for value in batch.column(0):
-                tokens = tokens_of(value.as_py(), n, words)
-                node = xxhash.xxh3_128_digest(tokens.tobytes())
-                if len(tokens) and node not in seen and (asked is None or node in asked):
-                    seen.add(node)
-                    nodes_.append(node)
+            texts, nodes_, sets = [], [], []
+            for value in batch.column(0).to_pylist():
+                digest = xxhash.xxh3_128_digest(value)
+                if digest in seen or (asked is not None and digest not in asked):
+                    continue
+                seen.add(digest)
+                tokens = tokens_of(value, n, words)
+                if len(tokens):
+                    texts.append(digest)
+                    nodes_.append(xxhash.xxh3_128_digest(tokens))
                     sets.append(tokens.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.binary()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (texts, nodes_, sets)], names=["digest", "node", "tokens"])
 
-    found = _rows(docs, text, run, "node binary, tokens binary")
+    found = _rows(docs, text, run, "digest binary, node binary, tokens binary")
     if not few:
-        found = found.join(wanted.select("node"), "node", "left_semi")
-    return found.dropDuplicates(["node"])
+        found = found.join(wanted.select("digest"), "digest", "left_semi")
+    return found.dropDuplicates(["digest"]).select("node", "tokens")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets reach the threshold."""
+    """Of the pairs (a, b, and their components c, d), those whose whole sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
                 x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
                 if den * both >= num * (len(x) + len(y) - both):
                     kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            yield batch.select(["a", "b", "c", "d"]).take(pa.array(kept, pa.int64()))
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "c", "d", "x", "y").mapInArrow(run, "a binary, b binary, c binary, d binary")
 
 
 def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` (node, comp) after merging the components that ``edges`` (a, b: components) connect.
 
-    Least labels spread over the edges, then every label is replaced by its own label, until nothing changes.
+    Least labels spread over the edges, then every label is replaced by its own label, until nothing changes.  Tables
+    of an iteration are written files: a checkpoint keeps the estimated size of its plan, which the joins of each
+    round would multiply.
     """
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     if both.isEmpty():
         return labels
     own = both.select(F.col("a").alias("id")).distinct().withColumn("to", F.col("id"))
-    own = cut(own)
+    own = written(own)
     while True:
         near = (
             both.join(own.select(F.col("id").alias("b"), F.col("to")), "b")
@@ -355,55 +373,63 @@ def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
         )
         step = own.join(near, "id").select("id", F.least("to", "near").alias("next"), F.col("to").alias("was"))
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        new = cut(step.join(jump, "next").select("id", F.least("next", "jump").alias("to"), "was"))
+        new = written(step.join(jump, "next").select("id", F.least("next", "jump").alias("to"), "was"))
         if new.where("to != was").isEmpty():
             break
         own = new.select("id", "to")
-    return cut(
+    return written(
         labels.join(new.select(F.col("id").alias("comp"), "to"), "comp", "left").select(
             "node", F.coalesce("to", "comp").alias("comp")
         )
     )
 
 
-def components(docs: DataFrame, n: int, num: int, den: int, total: int, text: str = "text") -> DataFrame:
-    """``node``, ``comp`` (a node) for the nodes that share an index key with another one."""
+def components(docs: DataFrame, known: DataFrame, n: int, num: int, den: int, total: int, text: str = "text") -> DataFrame:
+    """``node``, ``comp`` (a node) for the nodes that share an index key with another one.
+
+    ``known``: node and the digest of one text that has this set.
+    """
     order = counted(docs, n, total, text)
-    shared = cut(shared_keys(docs, n, order, num, den, text))
-    labels = cut(shared.select("node").distinct().withColumn("comp", F.col("node")))
+    shared = written(shared_keys(docs, n, order, num, den, text))
+    labels = written(shared.select("node").distinct().withColumn("comp", F.col("node")))
     if labels.isEmpty():
         return labels
-    sets = written(sets_of(docs, n, labels, text))
+    sets = written(sets_of(docs, n, written(known.join(labels, "node").select("digest")), text))
     near = (den * F.least("s", "t") >= num * F.greatest("s", "t")) & (F.col("c") != F.col("d"))
     tried: DataFrame | None = None
     for turn in range(STARS + 1):
-        now = shared.join(labels, "node")
-        open_keys = now.groupBy("k").agg(
-            F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(turn))).alias("hub"),
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-        ).where("low != high")
+        now = written(shared.join(labels, "node"))
+        # keys whose nodes are in several components, and how many pairs their nodes still make
+        own = now.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+        open_keys = own.groupBy("k").agg(
+            F.min_by(F.struct("hub.node", "hub.size", "comp"), F.xxhash64("hub.node", F.lit(turn))).alias("hub"),
+            F.sum("m").alias("m"),
+            F.sum(F.col("m") * F.col("m")).alias("within"),
+            F.count(F.lit(1)).alias("parts"),
+        ).where("parts > 1")
+        open_keys = written(open_keys)
+        left = open_keys.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()
+        if left[0] is None:
+            break
+        last = turn == STARS or left[1] <= PAIRS * left[0]
         one = now.select("k", F.col("node").alias("a"), F.col("size").alias("s"), F.col("comp").alias("c"))
-        if turn < STARS:
-            other = open_keys.select("k", F.col("hub.node").alias("b"), F.col("hub.size").alias("t"), F.col("hub.comp").alias("d"))
-            pairs = one.join(other, "k").where(near)
-        else:  # whatever is still apart, pair by pair
+        if last:  # whatever is still apart, pair by pair
             rest = one.join(open_keys.select("k"), "k", "left_semi")
             other = rest.select("k", F.col("a").alias("b"), F.col("s").alias("t"), F.col("c").alias("d"))
             pairs = rest.join(other, "k").where(near & (F.col("a") < F.col("b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            other = open_keys.select("k", F.col("hub.node").alias("b"), F.col("hub.size").alias("t"), F.col("hub.comp").alias("d"))
+            pairs = one.join(other, "k").where(near)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"))
+        pairs = pairs.dropDuplicates(["a", "b"])
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            if turn < STARS:
-                continue
-            break
+        pairs = written(pairs)
         links = verified(pairs, sets, num, den)
-        of = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"{side}2"))
-        edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        labels = merged(edges.where("a != b"), labels)
-        tried = pairs if tried is None else tried.unionAll(pairs)
+        labels = merged(links.select(F.col("c").alias("a"), F.col("d").alias("b")), labels)
+        if last:
+            break
+        tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
     return labels
 
 
@@ -421,8 +447,9 @@ def linked(
         raise ValueError("the threshold must be above 0 and at most 1")
     rows = cut(nodes(docs, n, key, text))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
-    labels = components(docs, n, num, den, total, text)
+    known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"), F.min("digest").alias("digest"))
+    known = cut(known)
+    labels = components(docs, known, n, num, den, total, text)
     tagged = cut(known.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     least = tagged.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = tagged.join(least, "comp").select("node", "component_id")
