@@ -15,10 +15,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,8 +27,8 @@ from ordinalia.runtime import cut
 
 #: Bounds of the sample for the centroids, of the centroids of a half, and passes of the fit.
 SAMPLE, CENTROIDS, PASSES = 20_000, 256, 12
-#: Entries of a block, queries of a block, entries that a cell should hold.
-BLOCK, QUERIES, CELL = 1024, 256, 16
+#: Entries of a block, queries of a block, pairs of blocks in an Arrow batch, queries whose best a task holds.
+BLOCK, QUERIES, BATCH, HELD = 256, 64, 32, 20_000
 #: A query visits cells until they hold the share of all entries that finds this share of the true neighbours of
 #: PROBES sampled vectors within the sample, and at least VISITED entries.  (In more entries neighbours are nearer, so the
 #: share found is larger.)
@@ -164,7 +165,7 @@ def nearest(
 
     sample = entries.select("entry", "v").orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).collect()
     x = _unit(np.array([r["v"] for r in sample], dtype=np.float64))
-    many, half = min(CENTROIDS, max(2, round(math.sqrt(total / CELL)))), width // 2
+    many, half = min(CENTROIDS, max(2, round(total**0.25))), width // 2  # about as many cells as entries of a cell
     index = Index(centroids(x[:, :half], many) if half else np.zeros((1, 0)), centroids(x[:, half:], many))
 
     wanted = wanted or max(VISITED, math.ceil(total * share_needed(index, x, k)))
@@ -203,29 +204,39 @@ def nearest(
     blocks = _blocks(placed, held)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[float, int]]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(q, i, -s) for q, best in held.items() for s, i in best]
+            held.clear()
+            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["query", "id", "score"])
+
         for batch in batches:
             for qs, es in zip(batch.column(0), batch.column(1)):
                 qs, es = qs.values, es.values
                 q, e = _matrix(qs.field("v")), _matrix(es.field("v"))
-                name, ids = qs.field("query").to_numpy(), es.field("ids").to_pylist()
+                name, ids = qs.field("query").to_pylist(), es.field("ids").to_pylist()
                 length = np.sqrt((e * e).sum(1))
                 rough = _unit(q) @ _unit(e).T
-                out: tuple[list, list, list] = ([], [], [])
                 for i in range(len(q)):
                     top = np.arange(len(e))
                     if len(top) > k + 1:  # the last place's ties and near ties stay until the exact score
                         last = np.partition(rough[i], len(top) - k - 1)[len(top) - k - 1]
+                        before = held.get(name[i], ())
+                        if len(before) > k:  # what is worse than the best so far need not be scored exactly
+                            last = max(last, -before[-1][0])
                         top = np.flatnonzero(rough[i] >= last - 1e-9)
-                    best = sorted((-s, x) for s, t in zip(cosine(q[i], e[top], length[top]), top) for x in ids[t])[: k + 1]
-                    out[0].extend([name[i]] * len(best))
-                    out[1].extend(x for _, x in best)
-                    out[2].extend(-s for s, _ in best)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                    names=["query", "id", "score"],
-                )
-
-    scored = going.join(blocks, "cell").select("queries", "entries").mapInArrow(rank, "query bigint, id bigint, score double")
+                    found = [(-s, x) for s, t in zip(cosine(q[i], e[top], length[top]), top) for x in ids[t]]
+                    held[name[i]] = sorted([*held.get(name[i], ()), *found])[: k + 1]
+            if len(held) > HELD:
+                yield out()
+        if held:
+            yield out()
+
+    met = going.join(blocks, "cell").select("queries", "entries")
+    with batches_of(rows.sparkSession, BATCH):
+        scored = cut(met.mapInArrow(rank, "query bigint, id bigint, score double"))
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")
     top = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("found"))
@@ -237,6 +248,18 @@ def nearest(
     )
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch for what is run inside: rows with packed blocks are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _blocks(placed: DataFrame, held: dict[int, int]) -> DataFrame:
     """``cell``, ``entries``: the entries of a cell in blocks of about BLOCK."""
     full = {cell: math.ceil(n / BLOCK) for cell, n in held.items() if n > BLOCK}
