@@ -15,14 +15,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ordinalia.llm.common import batches_of
 from ordinalia.runtime import cut
 
 #: Bounds of the sample for the centroids, of the centroids of a half, and passes of the fit.
@@ -248,18 +248,6 @@ def nearest(
     )
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch for what is run inside: rows with packed blocks are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _blocks(placed: DataFrame, held: dict[int, int]) -> DataFrame:
     """``cell``, ``entries``: the entries of a cell in blocks of about BLOCK."""
     full = {cell: math.ceil(n / BLOCK) for cell, n in held.items() if n > BLOCK}

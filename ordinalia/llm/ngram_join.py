@@ -12,9 +12,11 @@ shared token (prefix filter), the first n - o + s hold s of them (extended prefi
   document takes part in the classes that its possible partners can be in.
 
 Documents with equal sets are one node (the digest of the set).  Nodes that share a key are verified on their whole
-sets.  Only connected components are wanted, so a key's nodes are first compared with one of them (a star), then
-with others, until the pairs that are still in different components are few; these are compared one by one: no link between
-different components is missed, and no group is multiplied out.  Everything is exact but for 64-bit token hashes.
+sets.  Only connected components are wanted, so links need not be written out: the few nodes of a sparse key are
+compared as pairs; nodes that dense keys connect form a cluster, which is cut into blocks, and each pair of blocks is
+compared within a task, which returns a spanning forest of the links that it finds.  A large group of near
+copies is thus spread over its pairs of blocks and never multiplied out into rows.  Everything is exact but for 64-bit
+token hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import text_of, written
+from ordinalia.llm.common import batches_of, text_of, written
 from ordinalia.runtime import at_most, cut
 
 #: A token is frequent from this document frequency on; the list of frequent tokens has at most LISTED entries, so with
@@ -37,8 +39,8 @@ from ordinalia.runtime import at_most, cut
 FREQUENT, LISTED, MAP_BITS = 32, 2_000_000, 27
 #: Largest list of node digests (16 bytes each) that is sent to the tasks that look for their sets.
 SENT = 2_000_000
-#: Pairs are compared one by one as soon as there are at most PAIRS for each index entry, or after STARS rounds of stars.
-STARS, PAIRS = 6, 4
+#: A key with more nodes than this is dense; nodes of a block; pairs of blocks in an Arrow batch.
+DENSE, BLOCK, BATCH = 6, 384, 4
 WORDS_KEPT = 300_000
 SINGLE_UNDER = 8  # size classes below this index frequent tokens one by one
 
@@ -334,23 +336,23 @@ def sets_of(docs: DataFrame, n: int, wanted: DataFrame, text: str = "text") -> D
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b, and their components c, d), those whose whole sets reach the threshold."""
+    """Of the pairs (a, b), those whose whole sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
                 if den * both >= num * (len(x) + len(y) - both):
                     kept.append(i)
-            yield batch.select(["a", "b", "c", "d"]).take(pa.array(kept, pa.int64()))
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "c", "d", "x", "y").mapInArrow(run, "a binary, b binary, c binary, d binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -384,6 +386,69 @@ def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def compared(first: list[tuple[bytes, np.ndarray]], second: list[tuple[bytes, np.ndarray]], num: int, den: int) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks of (node, sorted tokens), as a spanning forest.
+
+    The tokens of the second block form an inverted index; one count per set of the first gives its overlaps with all.
+    """
+    names = [name for name, _ in first] + [name for name, _ in second]
+    place = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    above = list(range(len(place)))
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    sizes = np.array([len(t) for _, t in second], dtype=np.int64)
+    tokens = np.concatenate([t for _, t in second])
+    owner = np.repeat(np.arange(len(second)), sizes)
+    by = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[by], owner[by]
+    out = []
+    for name, own in first:
+        low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+        runs = high - low
+        at = np.repeat(low - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        both = np.bincount(owner[at], minlength=len(second))
+        for j in np.flatnonzero(den * both >= num * (len(own) + sizes - both)):
+            a, b = root(place[name]), root(place[second[j][0]])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                out.append((name, second[j][0]))
+    return out
+
+
+def within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) within clusters (node, cluster), by pairs of blocks; a spanning forest for each pair."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blocks = written(
+        clusters.join(sizes, "cluster")
+        .join(sets, "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .groupBy("cluster", "block")
+        .agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
+    )
+    other = blocks.select("cluster", F.col("block").alias("block2"), F.col("members").alias("members2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(column: pa.Array, i: int) -> list[tuple[bytes, np.ndarray]]:
+            values = column[i].values
+            nodes_, tokens = values.field("node").to_pylist(), values.field("tokens")
+            return [(node, np.frombuffer(t.as_buffer(), dtype="<u8")) for node, t in zip(nodes_, tokens)]
+
+        for batch in batches:
+            links = [x for i in range(batch.num_rows) for x in compared(block(batch.column(0), i), block(batch.column(1), i), num, den)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], names=["a", "b"]
+            )
+
+    met = blocks.join(other, "cluster").where("block <= block2").select("members", "members2")
+    with batches_of(clusters.sparkSession, BATCH):
+        return written(met.repartition(F.xxhash64("members"), F.xxhash64("members2")).mapInArrow(run, "a binary, b binary"))
+
+
 def components(docs: DataFrame, known: DataFrame, n: int, num: int, den: int, total: int, text: str = "text") -> DataFrame:
     """``node``, ``comp`` (a node) for the nodes that share an index key with another one.
 
@@ -395,42 +460,20 @@ def components(docs: DataFrame, known: DataFrame, n: int, num: int, den: int, to
     if labels.isEmpty():
         return labels
     sets = written(sets_of(docs, n, written(known.join(labels, "node").select("digest")), text))
-    near = (den * F.least("s", "t") >= num * F.greatest("s", "t")) & (F.col("c") != F.col("d"))
-    tried: DataFrame | None = None
-    for turn in range(STARS + 1):
-        now = written(shared.join(labels, "node"))
-        # keys whose nodes are in several components, and how many pairs their nodes still make
-        own = now.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(turn))).alias("hub"))
-        open_keys = own.groupBy("k").agg(
-            F.min_by(F.struct("hub.node", "hub.size", "comp"), F.xxhash64("hub.node", F.lit(turn))).alias("hub"),
-            F.sum("m").alias("m"),
-            F.sum(F.col("m") * F.col("m")).alias("within"),
-            F.count(F.lit(1)).alias("parts"),
-        ).where("parts > 1")
-        open_keys = written(open_keys)
-        left = open_keys.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()
-        if left[0] is None:
-            break
-        last = turn == STARS or left[1] <= PAIRS * left[0]
-        one = now.select("k", F.col("node").alias("a"), F.col("size").alias("s"), F.col("comp").alias("c"))
-        if last:  # whatever is still apart, pair by pair
-            rest = one.join(open_keys.select("k"), "k", "left_semi")
-            other = rest.select("k", F.col("a").alias("b"), F.col("s").alias("t"), F.col("c").alias("d"))
-            pairs = rest.join(other, "k").where(near & (F.col("a") < F.col("b")))
-        else:
-            other = open_keys.select("k", F.col("hub.node").alias("b"), F.col("hub.size").alias("t"), F.col("hub.comp").alias("d"))
-            pairs = one.join(other, "k").where(near)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"))
-        pairs = pairs.dropDuplicates(["a", "b"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        links = verified(pairs, sets, num, den)
-        labels = merged(links.select(F.col("c").alias("a"), F.col("d").alias("b")), labels)
-        if last:
-            break
-        tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
-    return labels
+    keys = written(shared.groupBy("k").agg(F.countDistinct("node").alias("m"), F.min("node").alias("first")))
+
+    few = shared.join(keys.where(F.col("m") <= DENSE).select("k"), "k").select("k", F.col("node").alias("a"), F.col("size").alias("s")).distinct()
+    other = few.select("k", F.col("a").alias("b"), F.col("s").alias("t"))
+    pairs = few.join(other, "k").where((F.col("a") < F.col("b")) & (den * F.least("s", "t") >= num * F.greatest("s", "t")))
+    links = written(verified(pairs.select("a", "b").distinct(), sets, num, den))
+
+    many = shared.join(keys.where(F.col("m") > DENSE).select("k", "first"), "k")
+    spokes = written(many.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    if not spokes.isEmpty():
+        ends = spokes.select("a").unionAll(spokes.select("b")).distinct()
+        clusters = merged(spokes, ends.select(F.col("a").alias("node"), F.col("a").alias("comp")))
+        links = links.unionAll(within(clusters.withColumnRenamed("comp", "cluster"), sets, num, den))
+    return merged(links, labels)
 
 
 def linked(
