@@ -33,13 +33,14 @@ def corpus(seed, copies=14):
 
 
 @pytest.mark.parametrize(
-    ("n", "num", "frequent", "pairs", "bits"),
-    [(3, 90, 32, 4, 27), (3, 90, 3, 0, 27), (5, 80, 2, 0, 27), (2, 60, 2, 0, 8), (1, 50, 4, 4, 12)],
+    ("n", "num", "frequent", "dense", "bits"),
+    [(3, 90, 32, 6, 27), (3, 90, 3, 1, 27), (5, 80, 2, 2, 27), (2, 60, 2, 1, 10), (1, 50, 4, 6, 12)],
 )
-def test_components_agree_with_all_pairs(spark, monkeypatch, n, num, frequent, pairs, bits):
+def test_components_agree_with_all_pairs(spark, monkeypatch, n, num, frequent, dense, bits):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "PAIRS", pairs)  # 0: stars until the last round
-    monkeypatch.setattr(ngram_join, "MAP_BITS", max(bits, 10))
+    monkeypatch.setattr(ngram_join, "DENSE", dense)  # 1: every key is dense
+    monkeypatch.setattr(ngram_join, "BLOCK", 3 + 10 * dense)
+    monkeypatch.setattr(ngram_join, "MAP_BITS", bits)
     rows = corpus(n)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit("x")).repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(frame, n, (num, 100)).collect()}
