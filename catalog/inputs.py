@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def padded(column: str):
-    return F.lpad(F.col(column).cast("string"), 6, "0")
+    """An id as text of one width, wide enough for every bigint (``lpad`` would cut off what is longer)."""
+    return F.lpad(F.col(column).cast("string"), 20, "0")
 
 
 def m1(spark: SparkSession, sf: str) -> DataFrame:

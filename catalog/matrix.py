@@ -35,7 +35,7 @@ def vectors_to_measurements(spark, sf):
 
 @register(
     "measurements_to_vectors",
-    f"""SELECT lpad(vec_id::varchar, 6, '0') AS sample_id, len(embedding)::bigint AS width,
+    f"""SELECT lpad(vec_id::varchar, 20, '0') AS sample_id, len(embedding)::bigint AS width,
         {L.r6('embedding[1]::double')} AS first_value, {L.r6('embedding[len(embedding)]::double')} AS last_value
         FROM embeddings""",
 )

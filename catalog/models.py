@@ -147,7 +147,7 @@ def kmedoids_vectors(spark, sf):
     """Ten medoids of the embeddings and every sample's cluster."""
     points, _ = _points(spark, sf, I.m1, 32)
     params = cut(_bare(points))
-    fitted = pam.fit(points, params, _one_run(points, "V_EUC_PAM"), 10)
+    fitted = pam.settled(pam.fit(points, params, _one_run(points, "V_EUC_PAM"), 10))
     return pam.assign(points, params, fitted).select("sample_id", n("cluster").alias("cluster"), r6("nearest").alias("nearest"))
 
 
@@ -181,7 +181,7 @@ def _imputed(m: str, budget: int) -> list[str]:
 
 
 _CLASSES = _imputed("m1", 12) + [
-    "lab AS (SELECT lpad(vec_id::varchar, 6, '0') AS sample_id, label AS cluster FROM embeddings)",
+    "lab AS (SELECT lpad(vec_id::varchar, 20, '0') AS sample_id, label AS cluster FROM embeddings)",
     """cc AS (SELECT dataset_id, cluster, pair_no, sum(bit) AS ones, count(*) AS c FROM bits JOIN lab USING (sample_id) GROUP BY ALL)""",
     """con AS (SELECT *, CASE WHEN up THEN share ELSE 1 - share END AS support,
         CASE WHEN up THEN share ELSE 1 - share END - CASE WHEN up THEN every ELSE 1 - every END AS contrast
@@ -328,14 +328,14 @@ def rule_seeds(spark, sf):
 @register("rule_clusters")
 def rule_clusters(spark, sf):
     """Rule clusters of the embeddings with the margin between best and second score."""
-    fitted = RL.fit(I.m1(spark, sf), k=3, feature_budget=24, max_pairs=200, max_rules=15, min_support=0.6, min_contrast=0.05)
+    fitted = RL.fit(I.m1(spark, sf), k=3, feature_budget=24, max_rules=15, min_support=0.6, min_contrast=0.05)
     return fitted["labels"].select("sample_id", n("cluster").alias("cluster"), r6("score_margin").alias("score_margin"))
 
 
 @register("rule_cluster_prototypes")
 def rule_cluster_prototypes(spark, sf):
     """Executable rules of the supplier datasets."""
-    fitted = RL.fit(I.m3(spark, sf), k=2, feature_budget=12, max_pairs=60, max_rules=8, min_support=0.7)
+    fitted = RL.fit(I.m3(spark, sf), k=2, feature_budget=12, max_rules=8, min_support=0.7)
     return fitted["rules"].select(
         "model_id", n("cluster").alias("cluster"), n("rule_rank").alias("rule_rank"), "feature_a", "feature_b",
         n("direction").alias("direction"), r6("support").alias("support"), r6("contrast").alias("contrast"),
@@ -647,7 +647,7 @@ def shared_source_transfer(spark, sf):
 def rule_transfer(spark, sf):
     """Rules fitted on one cohort, executed on the other, judged by region."""
     _, assigned = PL.rule_transfer(
-        I.m3(spark, sf), _directions(spark), k=2, feature_budget=12, max_pairs=60, max_rules=8, min_support=0.7
+        I.m3(spark, sf), _directions(spark), k=2, feature_budget=12, max_rules=8, min_support=0.7
     )
     judged = PL.evaluate_rules(cut(assigned), I.region_labels(spark, sf))
     return judged.select("model_id", "target_id", *[r6(c).alias(c) for c in ("coverage", "mean_score", "mean_margin", "ari")])
@@ -656,7 +656,7 @@ def rule_transfer(spark, sf):
 @register("method_comparison")
 def method_comparison(spark, sf):
     """Value, relation, post-hoc rule and direct rule clusters of both cohorts against the regions."""
-    labels = cut(PL.compare_methods(I.m3(spark, sf), k=2, feature_budget=12, max_pairs=60, max_rules=8, min_support=0.7))
+    labels = cut(PL.compare_methods(I.m3(spark, sf), k=2, feature_budget=12, max_rules=8, min_support=0.7))
     scored = G.method_metrics(
         labels.withColumn("forced_cluster", F.col("cluster")).withColumn("accepted_cluster", F.col("cluster")),
         I.region_labels(spark, sf), ["dataset_id", "method_id"],

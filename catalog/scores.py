@@ -253,7 +253,7 @@ def grouped_medians(spark, sf):
     )
 
 
-_REPORT = f"""rep AS (SELECT l_linestatus AS status, 'all' AS calibration_id, lpad(l_suppkey::varchar, 6, '0') AS report_id,
+_REPORT = f"""rep AS (SELECT l_linestatus AS status, 'all' AS calibration_id, lpad(l_suppkey::varchar, 20, '0') AS report_id,
     (['V_EUC_PAM', 'V_COR_PAM', 'R_FOOT_PAM', 'R_PAIR_PAM', 'H_EUC_PAIR_A025_PAM', 'H_EUC_PAIR_A050_PAM', 'H_EUC_PAIR_A075_PAM'])[l_linenumber] AS method_id,
     CASE WHEN l_linenumber <= 2 THEN 'VALUE' WHEN l_linenumber <= 4 THEN 'RELATIONAL' ELSE 'HYBRID' END AS family,
     round({L.mean('l_discount')} * 10.0, 6) AS q_score, {L.mean('l_tax')} >= 0.035 AS nondegenerate,
@@ -438,7 +438,7 @@ def rejections(spark, sf):
     L.query(
         _LOW
         + [
-            "own AS (SELECT fin.*, s_nationkey AS nation FROM fin JOIN supplier ON lpad(s_suppkey::varchar, 6, '0') = report_id)",
+            "own AS (SELECT fin.*, s_nationkey AS nation FROM fin JOIN supplier ON lpad(s_suppkey::varchar, 20, '0') = report_id)",
             """cnt AS (SELECT nation, decision, count(*) AS votes,
                 CASE decision WHEN 'NO_STABLE_STRUCTURE' THEN 0 WHEN 'VALUE' THEN 1 WHEN 'RELATIONAL' THEN 2 ELSE 3 END AS tie FROM own GROUP BY ALL)""",
             """win AS (SELECT nation, decision, votes, sum(votes) OVER (PARTITION BY nation) AS total,
@@ -711,13 +711,13 @@ def decision_counts(spark, sf):
 
 @register(
     "transfer_gate",
-    """WITH d AS (SELECT l_linestatus, abs(avg(l_discount) - 0.05) AS regret, avg((l_quantity > 5)::int) AS coverage, min(l_tax) + 0.2 AS share FROM lineitem GROUP BY ALL),
+    """WITH d AS (SELECT l_linestatus, l_returnflag, abs(avg(l_discount) - 0.05) AS regret, avg((l_quantity > 5)::int) AS coverage, min(l_tax) + 0.2 AS share FROM lineitem GROUP BY ALL),
        r AS (SELECT list_sort(list(regret)) AS rs, count(*) AS c, bool_and(coverage >= 0.8) AS cov, bool_and(share >= 0.1) AS shr FROM d)
-       SELECT c::bigint AS directions, (rs[1] <= 0.05 AND rs[2] <= 0.1) AS regret_ok, cov AS coverage_ok, shr AS cluster_share_ok,
-       (rs[1] <= 0.05 AND rs[2] <= 0.1 AND cov AND shr) AS go FROM r""",
+       SELECT c::bigint AS directions, (c >= 2 AND rs[1] <= 0.05 AND rs[-1] <= 0.1) AS regret_ok, cov AS coverage_ok, shr AS cluster_share_ok,
+       (c >= 2 AND rs[1] <= 0.05 AND rs[-1] <= 0.1 AND cov AND shr) AS go FROM r""",
 )
 def transfer_gate(spark, sf):
-    directions = I.table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("direction_id")).agg(
+    directions = I.table(spark, sf, "lineitem").groupBy(F.concat("l_linestatus", "l_returnflag").alias("direction_id")).agg(
         F.abs(F.avg("l_discount") - 0.05).alias("regret"),
         F.avg((F.col("l_quantity") > 5).cast("double")).alias("coverage"),
         (F.min("l_tax") + 0.2).alias("min_accepted_share"),

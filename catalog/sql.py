@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 M1 = """m1 AS (
-  SELECT 'embeddings' AS dataset_id, lpad(vec_id::varchar, 6, '0') AS sample_id,
+  SELECT 'embeddings' AS dataset_id, lpad(vec_id::varchar, 20, '0') AS sample_id,
          format('f{:03d}', pos) AS feature_id, v::double AS value
   FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings))"""
 
 M2 = """m2 AS (
-  SELECT 'events' AS dataset_id, lpad(user_id::varchar, 6, '0') AS sample_id,
+  SELECT 'events' AS dataset_id, lpad(user_id::varchar, 20, '0') AS sample_id,
          event_type || '_' || dayofweek(ts)::varchar AS feature_id, quantile_cont(value, 0.5) AS value
   FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type, dayofweek(ts))"""
 
@@ -18,7 +18,7 @@ def mean(column: str) -> str:
 
 
 M3 = f"""m3 AS (
-  SELECT l_linestatus AS dataset_id, lpad(l_suppkey::varchar, 6, '0') AS sample_id,
+  SELECT l_linestatus AS dataset_id, lpad(l_suppkey::varchar, 20, '0') AS sample_id,
          l_returnflag || '_' || measure AS feature_id, value
   FROM (SELECT l_suppkey, l_linestatus, l_returnflag, {mean('l_quantity')} AS quantity,
                {mean('l_extendedprice')} AS extendedprice, {mean('l_discount')} AS discount, {mean('l_tax')} AS tax

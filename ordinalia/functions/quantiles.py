@@ -121,7 +121,10 @@ def average_rank(
     group_rows: int | None = None,
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Add the 1-based average rank of ``value`` within each group (ties share their mean rank)."""
+    """Add the 1-based average rank of ``value`` within each group (ties share their mean rank).
+
+    A NULL keeps its row, has no rank and does not count, whatever the size of its group.
+    """
     keys = list(keys)
     if not keys:
         return average_rank(
@@ -130,14 +133,14 @@ def average_rank(
     bound = largest_group(df, keys) if group_rows is None else group_rows
     if bound <= small_group:
         group = W.partitionBy(*keys)
-        first = F.rank().over(group.orderBy(value))
+        first = F.rank().over(group.orderBy(F.asc_nulls_last(value)))
         ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
-        return df.withColumn(out, first + (ties - 1) / 2.0)
-    rows = df.select(*keys, F.col(value).alias("_v"), F.lit(1).cast("bigint").alias("_w"))
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), first + (ties - 1) / 2.0))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(1).cast("bigint").alias("_w"))
     binned = _binned(rows, keys, bound)
     upto = F.col("_before") + F.sum("_w").over(W.partitionBy(*keys, "_bin").orderBy("_v"))
     ranks = binned.select(*keys, F.col("_v").alias(value), (upto - (F.col("_w") - 1) / 2.0).alias(out))
-    return df.join(ranks, [*keys, value])
+    return df.join(ranks, [*keys, value], "left")
 
 
 def upper_quantile(

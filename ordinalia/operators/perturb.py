@@ -21,7 +21,7 @@ STRENGTH = {
     "quantization": (0.02, 0.08, 0.20),
 }
 GAMMA_RANGE = (0.75, 1.25)
-# Primes above any sample count in use; products of them stay coprime to it.
+# Those that do not divide a sample count are coprime to it, and so are their products.
 PRIMES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)
 
 
@@ -115,15 +115,19 @@ def shuffle_null(measurements: DataFrame, replicates: int, seed: int) -> DataFra
     placed = measurements.join(order, SAMPLE).select(
         "dataset_id", reps, "feature_id", "value", "at", "n"
     )
-    primes = F.array(*[F.lit(p).cast("bigint") for p in PRIMES])
+    primes = F.filter(F.array(*[F.lit(p).cast("bigint") for p in PRIMES]), lambda p: F.col("n") % p != 0)
 
     def prime(tag: str) -> Column:
-        pick = (X.uniform(seed, tag, F.col("rep"), F.col("feature_id")) * len(PRIMES)).cast("int")
+        pick = (X.uniform(seed, tag, F.col("rep"), F.col("feature_id")) * F.size(primes)).cast("int")
         return F.get(primes, pick) % F.col("n")
 
-    step = (prime("p1") * prime("p2")) % F.col("n")
+    def product(a: Column, b: Column) -> Column:
+        """a * b mod n, exact for every bigint count."""
+        return (a.cast("decimal(19,0)") * b.cast("decimal(19,0)") % F.col("n").cast("decimal(19,0)")).cast("bigint")
+
+    step = product(prime("p1"), prime("p2"))
     start = (X.uniform(seed, "b", F.col("rep"), F.col("feature_id")) * F.col("n")).cast("bigint")
-    moved = placed.withColumn("at", (step * F.col("at") + start) % F.col("n")).drop("n")
+    moved = placed.withColumn("at", (product(step, F.col("at")) + start) % F.col("n")).drop("n")
     names = order.select("dataset_id", "at", "sample_id")
     return moved.join(names, ["dataset_id", "at"]).select(
         F.format_string("%s#null%03d", "dataset_id", "rep").alias("dataset_id"),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..runtime import BROADCAST_ROWS, at_most, model_table
+from ..runtime import BROADCAST_ROWS, at_most, checked_broadcast, cut, model_table
 from .robust import FEATURE, SAMPLE
 
 
@@ -82,13 +82,15 @@ def state_of(difference: Column, margin: float | Column = 0.0) -> Column:
 
 
 def relation_states(ranks: DataFrame, pairs: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Long relation table for a frozen pair list ``dataset_id, left, right`` (state NULL if unobserved)."""
-    bad = invalid_pairs(pairs)
-    listed = model_table(
-        pairs.select("dataset_id", "left", "right").join(
-            bad.select("dataset_id", "left", "right"), ["dataset_id", "left", "right"], "left_anti"
-        )
-    )
+    """Long relation table for a frozen pair list ``dataset_id, left, right`` (state NULL if unobserved).
+
+    A self pair, a repeated pair or a pair with a feature that has no ranks is an error.
+    """
+    pairs = cut(pairs.select("dataset_id", "left", "right"))
+    bad = invalid_pairs(pairs, ranks.select("dataset_id", "feature_id").distinct()).limit(3).collect()
+    if bad:
+        raise ValueError("invalid pairs, e.g. " + "; ".join(f"{r['left']}>{r['right']} ({r['reason']})" for r in bad))
+    listed = checked_broadcast(pairs)
     by_sample = ranks.groupBy(*SAMPLE).agg(
         F.map_from_entries(F.collect_list(F.struct("feature_id", "q"))).alias("_q")
     )

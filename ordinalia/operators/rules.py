@@ -351,12 +351,17 @@ def initial_seeds(rows: DataFrame, k: int, max_pairs: int) -> DataFrame:
     return state.select("dataset_id", "seeds")
 
 
+def pair_limit(feature_budget: int, max_pairs: int | None) -> int:
+    """All pairs of the budget unless the caller states a limit."""
+    return feature_budget * (feature_budget - 1) // 2 if max_pairs is None else max_pairs
+
+
 def fit(
     measurements: DataFrame,
     *,
     k: int = 2,
     feature_budget: int = 60,
-    max_pairs: int = 1500,
+    max_pairs: int | None = None,
     max_rules: int = 25,
     min_support: float = 0.80,
     min_contrast: float = 0.10,
@@ -369,6 +374,7 @@ def fit(
     """
     if k < 2:
         raise ValueError("k must be at least 2")
+    max_pairs = pair_limit(feature_budget, max_pairs)
     selected = cut(select_features(measurements, feature_budget))
     # neighbours of one dataset share Arrow batches and therefore partial counts
     rows = cut(fit_rows(measurements, selected).sortWithinPartitions("dataset_id"))

@@ -237,20 +237,18 @@ def decision_counts(evaluations: DataFrame) -> DataFrame:
 def transfer_gate(directions: DataFrame) -> DataFrame:
     """Gate over transfer directions ``direction_id, regret, frozen, coverage, min_accepted_share``.
 
-    The best direction must stay within 0.05 and the next one within 0.10 of its oracle.
+    The best direction must stay within 0.05 and all others within 0.10 of their oracles; at least two are needed, and
+    a direction without a regret is not within anything.
     """
-    sorted_regret = F.array_sort(F.slice(F.array_sort(F.collect_list("regret")), 1, 2))
     report = directions.agg(
         F.count(F.lit(1)).alias("directions"),
-        sorted_regret.alias("_r"),
+        F.min("regret").alias("_best"),
+        F.bool_and(F.coalesce(F.col("regret") <= GATE["reverse_regret"], F.lit(False))).alias("_rest"),
         F.bool_and("frozen").alias("frozen_ok"),
         F.bool_and(F.col("coverage") >= GATE["coverage"]).alias("coverage_ok"),
         F.bool_and(F.col("min_accepted_share") >= GATE["cluster_share"]).alias("cluster_share_ok"),
     )
-    low, high = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
-    regret_ok = F.coalesce(
-        (low <= GATE["regret"]) & (high <= GATE["reverse_regret"]), F.lit(False)
-    )
+    regret_ok = F.coalesce((F.col("directions") >= 2) & (F.col("_best") <= GATE["regret"]) & F.col("_rest"), F.lit(False))
     out = report.select("directions", regret_ok.alias("regret_ok"), "frozen_ok", "coverage_ok", "cluster_share_ok")
     return out.withColumn(
         "go", F.col("regret_ok") & F.col("frozen_ok") & F.col("coverage_ok") & F.col("cluster_share_ok")

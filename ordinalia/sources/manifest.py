@@ -34,7 +34,7 @@ def read_manifest(spark: SparkSession, path: str, schema_tag: str) -> DataFrame:
     return raw.select(F.explode(checked).alias("dataset_id", "e")).select("dataset_id", "e.*")
 
 
-#: Larger files are checked by size only: their content does not fit one binary cell.
+#: Larger files are not hashed (their content does not fit one binary cell) and are reported as unverified.
 HASHED_BYTES = 1 << 30
 
 
@@ -64,6 +64,7 @@ def file_problems(manifest: DataFrame, files: DataFrame, root: str) -> DataFrame
         .when(F.col("dataset_id").isNull(), "unlisted file")
         .when(F.col("size_bytes") != F.col("x_size_bytes"), "size")
         .when(F.col("sha256") != F.col("x_sha256"), "checksum")
+        .when(F.col("sha256").isNull() & F.col("x_sha256").isNotNull(), "unverified")
     )
     return (
         manifest.select("dataset_id", "x_path", "x_size_bytes", "x_sha256")

@@ -42,8 +42,12 @@ def vectors_to_measurements(
 
 
 def measurements_to_vectors(df: DataFrame) -> DataFrame:
-    """Inverse: one array per sample in feature order (a sample has at most one value per feature)."""
-    items = F.array_sort(F.collect_list(F.struct("feature_id", "value")))
+    """Inverse: one array per sample in feature order (a sample has at most one value per feature).
+
+    Names that end in digits are ordered by what stands before them, then by the number.
+    """
+    stem = F.regexp_replace("feature_id", "[0-9]+$", "")
+    items = F.array_sort(F.collect_list(F.struct(stem.alias("stem"), F.length("feature_id").alias("width"), "feature_id", "value")))
     return df.groupBy("dataset_id", "sample_id").agg(
         F.transform(items, lambda s: s["value"]).alias("vector")
     )

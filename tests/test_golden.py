@@ -304,7 +304,7 @@ def test_outer_vote(spark):
     assert (got.decision, got.decision_confidence, got.uncertain) == ("VALUE", 0.5, True)
 
 
-@pytest.mark.parametrize("regrets,passes", [((0.0, 0.105284), False), ((0.05, 0.10), True)])
+@pytest.mark.parametrize("regrets,passes", [((0.0, 0.105284), False), ((0.05, 0.10), True), ((0.0, 0.05, 0.9), False), ((0.1, 0.0, 0.02), True), ((0.0,), False), ((0.0, None), False)])
 def test_transfer_gate(spark, regrets, passes):
     rows = [(str(i), r, 0.9, 0.2, True) for i, r in enumerate(regrets)]
     gate = G.transfer_gate(spark.createDataFrame(rows, "direction_id string, regret double, coverage double, min_accepted_share double, frozen boolean")).first()
