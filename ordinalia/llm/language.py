@@ -46,9 +46,11 @@ def _tagged(corpus: DataFrame, text: str, target: str) -> DataFrame:
 def vocabulary(
     corpus: DataFrame, text: str = "text", target: str = "target", size: int = VOCABULARY
 ) -> tuple[list[tuple[str, int, int]], tuple[int, int]]:
-    """(word, count in all rows, count in target rows) of the ``size`` most frequent words, most frequent first.
+    """(word, count in all rows, count in target rows) of the most frequent words, most frequent first.
 
-    Then the tokens of all rows and of target rows.
+    These are the words from the smallest count on (counts above some hundreds in steps of 0.3 %) that at most ``size``
+    words reach; the steps are counted first, so that no task sends more than its share of them.  Then the
+    tokens of all rows and of target rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,15 @@ def vocabulary(
 
     counted = _tagged(corpus, text, target).mapInArrow(count, "word string, n bigint, n_target bigint")
     words = cut(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-    top = words.where((F.col("n") >= LEAST) & (F.col("word") != "")).orderBy(F.desc("n"), "word").limit(size)
+    step = F.floor(F.log2(F.col("n").cast("double")) * 256)
+    listed = words.where((F.col("n") >= LEAST) & (F.col("word") != "")).withColumn("step", step)
+    bound, reached = None, 0
+    for r in listed.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 64 * 256 rows
+        reached += r["count"]
+        if reached > size:
+            break
+        bound = r["step"]
+    top = listed.where(F.col("step") >= F.lit(bound)).orderBy(F.desc("n"), "word")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
     return [(r["word"], r["n"], r["n_target"]) for r in top.collect()], tuple(total)
 
