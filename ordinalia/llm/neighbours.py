@@ -112,15 +112,15 @@ class Index:
 
 def share_needed(index: Index, x: np.ndarray, k: int, recall: float = RECALL, probes: int = PROBES) -> float:
     """Share of the sample that the first cells must hold for ``recall`` of the k true neighbours of the probes."""
-    probes = min(probes, len(x))
-    near = x[:probes] @ x.T
-    near[np.arange(probes), np.arange(probes)] = -np.inf
+    chosen = np.unique(np.linspace(0, len(x) - 1, min(probes, len(x))).astype(np.int64))
+    near = x[chosen] @ x.T
+    near[np.arange(len(chosen)), chosen] = -np.inf
     true = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     if not true.size:
         return 1.0
     cell = index.cells(x)
     count = np.bincount(cell, minlength=len(index.first) * len(index.second))
-    first, second = index.distances(x[:probes])
+    first, second = index.distances(x[chosen])
     shares = []
     for a, b, neighbours in zip(first, second, true):
         order = np.argsort((a[:, None] + b[None, :]).ravel(), kind="stable")
