@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..runtime import attach_models, cut
+from ..runtime import attach_models, cut, stored
 from . import robust as R
 from .ranks import ranked_pairs
 from .tiles import matrix
@@ -340,7 +340,7 @@ def initial_seeds(rows: DataFrame, k: int, max_pairs: int) -> DataFrame:
             .groupBy("dataset_id")
             .agg(F.expr("min(struct(far, sample_id, x)) AS b"))
         )
-        state = cut(
+        state = stored(
             state.join(best, "dataset_id").selectExpr(
                 "dataset_id",
                 "prevalence",
@@ -410,12 +410,12 @@ def fit(
         )
 
     for step in range(max_iter + 1):
-        following = cut(advance(state, step))
+        following = stored(advance(state, step))
         flags = following.agg(F.max("torn").alias("torn"), F.min("converged").alias("all_done")).first()
         if flags["torn"]:
             # some cluster lost all members: repair those datasets' labels and repeat the round
-            state = cut(_repaired(rows, state, following, k, max_pairs, model_bytes))
-            following = cut(advance(state, step))
+            state = stored(_repaired(rows, state, following, k, max_pairs, model_bytes))
+            following = stored(advance(state, step))
             flags = following.agg(F.min("converged").alias("all_done")).first()
         state = following
         if flags["all_done"]:

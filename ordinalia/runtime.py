@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    For the state of an iteration: a checkpoint keeps the *estimated* size of its plan, and a state that is joined
+    with itself squares the estimate in each round, until planning handles numbers of millions of digits.  A
+    file has the size that it has.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Does ``df`` have at most ``rows`` rows?  Reads no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
