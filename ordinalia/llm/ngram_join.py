@@ -421,16 +421,25 @@ def compared(first: list[tuple[bytes, np.ndarray]], second: list[tuple[bytes, np
 
 
 def within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within clusters (node, cluster), by pairs of blocks; a spanning forest for each pair."""
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    """Links (a, b) within clusters (node, cluster), by pairs of blocks; a spanning forest for each pair.
+
+    Sizes of linked sets differ by den / num at most, so a block holds sets of one level of sizes, and levels are as
+    wide as that: only blocks of one level or of neighbouring levels meet.
+    """
+    size = F.length("tokens") / 8
+    level = F.floor(F.ln(size) / (math.log(den / num) * 1.000001)) if num < den else size.cast("bigint")
+    keys = ["cluster", "level"]
+    members = written(clusters.join(sets, "node").withColumn("level", level))
+    counts = members.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     blocks = written(
-        clusters.join(sizes, "cluster")
-        .join(sets, "node")
+        members.join(counts, keys)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .groupBy("cluster", "block")
+        .groupBy(*keys, "block")
         .agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
     )
-    other = blocks.select("cluster", F.col("block").alias("block2"), F.col("members").alias("members2"))
+    both = F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("meet")
+    first = blocks.select("cluster", "level", "block", "members", both)
+    other = blocks.select("cluster", F.col("level").alias("meet"), F.col("block").alias("block2"), F.col("members").alias("members2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(column: pa.Array, i: int) -> list[tuple[bytes, np.ndarray]]:
@@ -444,7 +453,7 @@ def within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 [pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], names=["a", "b"]
             )
 
-    met = blocks.join(other, "cluster").where("block <= block2").select("members", "members2")
+    met = first.join(other, ["cluster", "meet"]).where("meet > level OR block <= block2").select("members", "members2")
     with batches_of(clusters.sparkSession, BATCH):
         return written(met.repartition(F.xxhash64("members"), F.xxhash64("members2")).mapInArrow(run, "a binary, b binary"))
 
