@@ -36,7 +36,8 @@ def vectors_to_measurements(spark, sf):
 @register(
     "measurements_to_vectors",
     f"""SELECT lpad(vec_id::varchar, 20, '0') AS sample_id, len(embedding)::bigint AS width,
-        {L.r6('embedding[1]::double')} AS first_value, {L.r6('embedding[len(embedding)]::double')} AS last_value
+        {L.r6('embedding[1]::double')} AS first_value, {L.r6('embedding[len(embedding)]::double')} AS last_value,
+        list_sum(list_transform(embedding, lambda x, i: i * round(x::double * 1000000)::bigint))::bigint AS by_position
         FROM embeddings""",
 )
 def measurements_to_vectors(spark, sf):
@@ -46,6 +47,11 @@ def measurements_to_vectors(spark, sf):
         n(F.size("vector")).alias("width"),
         r6(F.element_at("vector", 1)).alias("first_value"),
         r6(F.element_at("vector", -1)).alias("last_value"),
+        F.aggregate(
+            F.transform("vector", lambda x, i: (i + 1) * F.round(x * 1000000).cast("bigint")),
+            F.lit(0).cast("bigint"),
+            lambda a, x: a + x,
+        ).alias("by_position"),
     )
 
 

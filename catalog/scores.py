@@ -583,9 +583,9 @@ _RUNS = """runs AS (SELECT *, decision = expected_decision AS decision_correct F
     CASE WHEN o_orderstatus = 'P' THEN 'moderate' ELSE 'strong' END AS signal, lower(o_orderstatus) AS shift
   FROM (SELECT o.*, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'VALUE' WHEN '2' THEN 'RELATIONAL' WHEN '3' THEN 'HYBRID' ELSE 'NULL' END AS regime,
     l.* FROM orders o LEFT JOIN (SELECT l_orderkey,
-      round(max(l_discount) FILTER (l_linenumber = 1) * 10.0, 6) AS q_value, round(max(l_quantity) FILTER (l_linenumber = 1) / 50.0, 6) AS ari_value,
-      round(max(l_discount) FILTER (l_linenumber = 2) * 10.0, 6) AS q_relational, round(max(l_quantity) FILTER (l_linenumber = 2) / 50.0, 6) AS ari_relational,
-      round(max(l_discount) FILTER (l_linenumber = 3) * 10.0, 6) AS q_hybrid, round(max(l_quantity) FILTER (l_linenumber = 3) / 50.0, 6) AS ari_hybrid
+      round(max(l_discount) FILTER ((l_linenumber - 1) % 3 = 0) * 10.0, 6) AS q_value, round(max(l_quantity) FILTER ((l_linenumber - 1) % 3 = 0) / 50.0, 6) AS ari_value,
+      round(max(l_discount) FILTER ((l_linenumber - 1) % 3 = 1) * 10.0, 6) AS q_relational, round(max(l_quantity) FILTER ((l_linenumber - 1) % 3 = 1) / 50.0, 6) AS ari_relational,
+      round(max(l_discount) FILTER ((l_linenumber - 1) % 3 = 2) * 10.0, 6) AS q_hybrid, round(max(l_quantity) FILTER ((l_linenumber - 1) % 3 = 2) / 50.0, 6) AS ari_hybrid
       FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey)))"""
 
 
@@ -836,17 +836,21 @@ def sample_differences(spark, sf):
     return V.sample_differences(left, right).groupBy("side").agg(n(F.count(F.lit(1))).alias("n"))
 
 
-_FINGER = """concat_ws('|', coalesce('v' || {0}::varchar, 'n'), coalesce('v' || {1}::varchar, 'n'))"""
+_LINE = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+_FINGER = "concat_ws('|', " + ", ".join(f"coalesce('v' || {c}::varchar, 'n')" for c in _LINE) + ")"
 
 
 @register(
     "fingerprints",
-    f"""WITH h AS (SELECT l_returnflag, md5({_FINGER.format('l_orderkey', 'l_linenumber')}) AS h FROM lineitem)
+    f"""WITH h AS (SELECT l_returnflag, md5({_FINGER}) AS h FROM lineitem)
         SELECT l_returnflag, count(*)::bigint AS n_rows, sum(('0x' || substr(h, 1, 13))::bigint)::varchar || '-' || sum(('0x' || substr(h, 14, 13))::bigint)::varchar AS fingerprint
         FROM h GROUP BY l_returnflag""",
 )
 def fingerprints(spark, sf):
-    found = V.fingerprint(I.table(spark, sf, "lineitem"), ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+    found = V.fingerprint(I.table(spark, sf, "lineitem"), ["l_returnflag"], list(_LINE))
     return found.select("l_returnflag", n("n_rows").alias("n_rows"), "fingerprint")
 
 
