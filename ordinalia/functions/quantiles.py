@@ -189,7 +189,3 @@ def spearman(
     return ranked.groupBy(*keys).agg(
         F.when(rho.isNull() | F.isnan(rho), 0.0).otherwise(rho).alias(out)
     )
-
-
-def column_is_finite(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
 
 
 def contingency(df: DataFrame, keys: Sequence[str], truth: str, predicted: str) -> DataFrame:
@@ -183,7 +182,3 @@ def pair_recovery(truth: DataFrame, learned: DataFrame, keys: Sequence[str]) ->
 
 def prototype_size(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rules.groupBy(*keys).agg(F.count(F.lit(1)).alias("prototype_size"))
-
-
-def clipped_unit(value: Column) -> Column:
-    return X.clip(value, 0.0, 1.0)
