@@ -1,8 +1,9 @@
 """Quality rules as weak supervision [native].
 
-Rules look at counts of a text and vote good, vote bad or abstain.  Expectation-maximisation over the vote
-patterns of *all* documents estimates how each rule votes in either class; the posterior probability of
-the good class replaces "all rules must pass".  Only DataFrame functions touch the documents: what reaches
+Rules look at counts of a text and vote good, vote bad or abstain.  Bad documents are bad in different ways, so the
+latent classes are "good" and one kind of defect per rule; expectation-maximisation over the vote patterns of
+*all* documents estimates how each rule votes in each class, and the posterior probability of "good" replaces
+"all rules must pass".  Only DataFrame functions touch the documents: what reaches
 the driver is one count per vote pattern, at most 3 ** len(RULES) rows whatever the size of the corpus.
 """
 
@@ -24,7 +25,7 @@ RULES: dict[str, tuple[str, str, str]] = {
     "word_length": ("word_chars / nullif(n_words, 0)", "share BETWEEN 3 AND 12", "share < 2 OR share > 20"),
     "symbols": ("n_symbols / nullif(n_words, 0)", "share <= 0.02", "share > 0.1"),
     "repetition": ("n_repeat_words / nullif(n_words, 0)", "share <= 0.15", "share > 0.3"),
-    "lines": ("n_dup_lines / nullif(n_lines, 0)", "share <= 0.05", "share > 0.3"),
+    "lines": ("n_dup_lines / nullif(n_lines, 0)", "share <= 0.05", "share > 0.5"),
     "capitals": ("n_capitals / nullif(word_chars, 0)", "share <= 0.15", "share > 0.4"),
     "marks": ("n_marks / nullif(n_words, 0)", "share <= 0.3", "share > 0.6"),
 }
@@ -117,54 +118,60 @@ def votes(counted: DataFrame) -> DataFrame:
     return out
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict:
-    """Expectation-maximisation of a two-class model with independent votes; ``patterns``: (votes, documents).
+#: A rule's bad votes are this frequent at least in its own kind of defect, and at most in good documents.
+OWN_LEAST, GOOD_MOST = 0.7, 0.02
 
-    Start: a pattern with a bad vote is probably bad.  Each rule keeps one probability of "bad, given a vote" per
-    class, smoothed with one document on each side; an abstention says nothing.  The class in which bad votes are
-    likelier overall is the bad one.  Without documents: the start values.
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[tuple[float, list[float]]]:
+    """Expectation-maximisation; ``patterns``: (votes, documents).  Returns (weight, bad rate per rule) of each class.
+
+    The first class is "good", then comes a kind of defect for each rule.  A rate is the probability of a bad vote
+    given a vote; an abstention says nothing.  Rates are smoothed with one vote on each side, weights with one document;
+    OWN_LEAST and GOOD_MOST say that rules are better than chance.  Without documents the start values stay.
     """
     rules = len(RULES)
-    p_good = [0.95 if BAD not in v and GOOD in v else 0.1 if BAD in v else 0.5 for v, _ in patterns]
-    prior, rates = 0.8, [(0.05, 0.5)] * rules
-    for _ in range(rounds):
-        total = sum(n for _, n in patterns)
-        prior = (sum(p * n for p, (_, n) in zip(p_good, patterns)) + 1) / (total + 2)
-        rates = []
+    model = [(0.8, [0.03] * rules)]
+    model += [(0.2 / rules, [0.9 if i == j else 0.1 for i in range(rules)]) for j in range(rules)]
+    for _ in range(rounds if patterns else 0):
+        weights, tally = [1.0] * (rules + 1), [[[1.0, 1.0] for _ in range(rules)] for _ in range(rules + 1)]
+        for votes_, n in patterns:
+            shares = class_shares(model, votes_)
+            for c, share in enumerate(shares):
+                weights[c] += share * n
+                for j, vote in enumerate(votes_):
+                    if vote:
+                        tally[c][j][vote - 1] += share * n
+        rates = [[t[1] / (t[0] + t[1]) for t in row] for row in tally]
+        rates[0] = [min(r, GOOD_MOST) for r in rates[0]]
         for j in range(rules):
-            tally = [[1.0, 1.0], [1.0, 1.0]]  # class (good, bad) x vote (good, bad)
-            for p, (v, n) in zip(p_good, patterns):
-                if v[j]:
-                    tally[0][v[j] - 1] += p * n
-                    tally[1][v[j] - 1] += (1 - p) * n
-            rates.append(tuple(t[1] / (t[0] + t[1]) for t in tally))
-        p_good = [1 / (1 + math.exp(-max(-700.0, min(700.0, log_odds(prior, rates, v))))) for v, _ in patterns]
-    if sum(r[0] for r in rates) > sum(r[1] for r in rates):
-        prior, rates = 1 - prior, [(b, a) for a, b in rates]
-    return {"prior": prior, "bad_rate": dict(zip(RULES, rates))}
-
-
-def log_odds(prior: float, rates: list[tuple[float, float]], v: tuple[int, ...]) -> float:
-    out = math.log(prior / (1 - prior))
-    for (in_good, in_bad), vote in zip(rates, v):
-        if vote == BAD:
-            out += math.log(in_good / in_bad)
-        elif vote == GOOD:
-            out += math.log((1 - in_good) / (1 - in_bad))
-    return out
+            rates[j + 1][j] = max(rates[j + 1][j], OWN_LEAST)
+        total = sum(weights)
+        model = [(w / total, r) for w, r in zip(weights, rates)]
+    return model
+
+
+def class_shares(model: list[tuple[float, list[float]]], votes_: tuple[int, ...]) -> list[float]:
+    """Posterior probability of each class for a vote pattern."""
+    logs = [
+        math.log(weight) + sum(math.log(r if v == BAD else 1 - r) for r, v in zip(rates, votes_) if v)
+        for weight, rates in model
+    ]
+    top = max(logs)
+    made = [math.exp(x - top) for x in logs]
+    return [x / sum(made) for x in made]
 
 
-def posterior(model: dict) -> Column:
+def posterior(model: list[tuple[float, list[float]]]) -> Column:
     """Probability of the good class from the ``vote_`` columns."""
-    terms = [F.lit(math.log(model["prior"] / (1 - model["prior"])))]
-    for name, (in_good, in_bad) in model["bad_rate"].items():
-        vote = F.col(f"vote_{name}")
-        terms.append(
-            F.when(vote == BAD, math.log(in_good / in_bad))
-            .when(vote == GOOD, math.log((1 - in_good) / (1 - in_bad)))
-            .otherwise(0.0)
-        )
-    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
+    classes = []
+    for weight, rates in model:
+        terms = [F.lit(math.log(weight))]
+        for name, rate in zip(RULES, rates):
+            vote = F.col(f"vote_{name}")
+            terms.append(F.when(vote == BAD, math.log(rate)).when(vote == GOOD, math.log(1 - rate)).otherwise(0.0))
+        classes.append(reduce(lambda a, b: a + b, terms))
+    good = classes[0]
+    return 1 / (1 + reduce(lambda a, b: a + b, [F.exp(c - good) for c in classes[1:]]))
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
