@@ -119,18 +119,26 @@ def test_expectation_maximisation_raises_the_likelihood():
     patterns = [((1,) * j, 800), ((2,) + (1,) * (j - 1), 40), ((2, 2) + (1,) * (j - 2), 60), ((0,) * j, 10)]
 
     def likelihood(model):
-        rates = list(model["bad_rate"].values())
         total = 0.0
         for votes, n in patterns:
-            p = [model["prior"], 1 - model["prior"]]
-            for c in (0, 1):
-                for rate, v in zip(rates, votes):
-                    p[c] *= 1 if v == 0 else rate[c] if v == 2 else 1 - rate[c]
+            p = [w * math.prod(r if v == 2 else 1 - r for r, v in zip(rates, votes) if v) for w, rates in model]
             total += n * math.log(sum(p))
         return total
 
     steps = [likelihood(rules.fit(patterns, rounds)) for rounds in (1, 5, 60)]
     assert steps[0] <= steps[1] + 1e-6 and steps[1] <= steps[2] + 1.0
+    for votes, _ in patterns:
+        assert sum(rules.class_shares(rules.fit(patterns), votes)) == pytest.approx(1.0)
+
+
+def test_each_kind_of_defect_is_a_class_of_its_own():
+    """Defects that never come together, each frequent: one bad vote among good ones is enough."""
+    j = len(rules.RULES)
+    single = [tuple(2 if i == k else 1 for i in range(j)) for k in range(j)]
+    patterns = [((1,) * j, 900), *[(v, 60) for v in single]]
+    model = rules.fit(patterns)
+    assert rules.class_shares(model, (1,) * j)[0] > 0.8
+    assert all(rules.class_shares(model, v)[0] < 0.5 for v in single)
 
 
 APACHE = (
