@@ -39,8 +39,8 @@ from ordinalia.runtime import at_most, cut
 FREQUENT, LISTED, MAP_BITS = 32, 2_000_000, 27
 #: Largest list of node digests (16 bytes each) that is sent to the tasks that look for their sets.
 SENT = 2_000_000
-#: A key with more nodes than this is dense; nodes of a block; pairs of blocks in an Arrow batch.
-DENSE, BLOCK, BATCH = 6, 384, 4
+#: A key with more nodes than this is dense; nodes of a block; pairs of blocks and texts in an Arrow batch.
+DENSE, BLOCK, BATCH, TEXTS = 6, 384, 4, 2000
 WORDS_KEPT = 300_000
 SINGLE_UNDER = 8  # size classes below this index frequent tokens one by one
 
@@ -497,6 +497,11 @@ def linked(
     num, den = threshold
     if not 0 < num <= den:
         raise ValueError("the threshold must be above 0 and at most 1")
+    with batches_of(docs.sparkSession, TEXTS):
+        return _linked(docs, n, num, den, key, text)
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
     rows = cut(nodes(docs, n, key, text))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"), F.min("digest").alias("digest"))

@@ -19,7 +19,7 @@ import numpy as np
 from ordinalia.llm.common import kept
 
 #: Words kept per worker process.
-MEMORY = 1_000_000
+MEMORY = 400_000
 #: The published split pattern of this kind of vocabulary, for texts of the characters below only: there a letter is
 #: what \w holds besides digits and the underscore.
 SPLIT = re.compile(r" ?[^\W\d_]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
