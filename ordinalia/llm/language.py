@@ -1,36 +1,43 @@
 """Language-model scoring by cross-entropy difference.
 
 Two n-gram models of the same kind, one of a target corpus and one of the background, share one vocabulary: the words
-that are most frequent in both corpora together; every other word is one unknown word.  A model interpolates the
-probability of a word after its predecessor with the word's own probability.  A document's score is the mean, over its
-tokens, of background loss minus target loss: the higher, the more it reads like the target.
-
-Both models are counted over every document of their corpora.  Word counts are aggregated per task and then by word;
-pair counts go to 2 ** PAIR_BITS hashed places, summed per task and then per range of places, so both models together
-have a fixed size and can be sent to the tasks that score.
+with LEAST or more occurrences in both corpora together; every other word is one unknown word.  A model interpolates
+the probability of a word after its predecessor with the word's own probability.  A document's score is the mean, over
+its tokens, of background loss minus target loss: the higher, the more it reads like the target.
+
+Counts of words and of (predecessor, word) pairs are exact, and no table is held in one place.  The documents are cut
+into chunks of about CHUNK tokens, tokenised once.  A chunk hands out each of its distinct words and pairs once, with
+its own counts; they are summed by word and by pair, and the chunk gets the sums back.  So what a task holds follows
+the chunk, and a key has at most one row per chunk, however frequent it is.  Words of the vocabulary are
+numbered, and a pair is the 64-bit number of its two words, mixed one to one: different pairs never meet.
 """
 
 from __future__ import annotations
 
+import io
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import text_of
-from ordinalia.runtime import cut
+from ordinalia.llm.common import batches_of, text_of, written
 
-#: Words of the shared vocabulary; least count of a word; hashed places of word pairs.
-VOCABULARY, LEAST, PAIR_BITS = 100_000, 3, 20
-#: Ranges of places that are summed apart; words counted in a task before they are handed on.
-RANGES, HELD = 64, 400_000
+#: Words of the shared vocabulary (None: all); least count of a word.
+VOCABULARY, LEAST = 100_000, 3
+#: Tokens of a chunk; pairs of a range that one task sums; texts and chunks in an Arrow batch.
+CHUNK, RANGE, TEXTS, CHUNKS = 1_000_000, 1_000_000, 2000, 2
 #: Added to every word count; share of the pair model.
 ALPHA, PAIR_SHARE = 0.5, 0.4
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Number of the unknown word; ids of chunks that are not of the corpus start here.
+_UNKNOWN, _OTHER = (1 << 32) - 1, 1 << 61
+_NAMES = ["n_tokens", "background_loss", "target_loss", "score"]
+_A, _B, _33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -38,177 +45,324 @@ def words_of(text: str | None) -> list[str]:
     return [w.strip(".,;:!?\"'()[]") for w in (text or "").lower().split()]
 
 
-def _tagged(corpus: DataFrame, text: str, target: str) -> DataFrame:
-    """``text`` and ``target`` (does the row belong to the target?)."""
-    return corpus.select(text_of(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as planes of bytes, compressed: the planes of high bytes are nearly empty."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def vocabulary(
-    corpus: DataFrame, text: str = "text", target: str = "target", size: int = VOCABULARY
-) -> tuple[list[tuple[str, int, int]], tuple[int, int]]:
-    """(word, count in all rows, count in target rows) of the most frequent words, most frequent first.
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+class _Numbers(dict):
+    """Numbers of the words of a chunk, in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+def _rest(docs: DataFrame, text: str) -> DataFrame:
+    return docs.drop(text, *[c for c in _NAMES if c in docs.columns])
 
-    These are the words from the smallest count on (counts above some hundreds in steps of 0.3 %) that at most ``size``
-    words reach; the steps are counted first, so that no task sends more than its share of them.  Then the
-    tokens of all rows and of target rows.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both: tuple[Counter, Counter] = (Counter(), Counter())
+def chunked(docs: DataFrame, text: str, target: str | None = None, rows: bool = True, first: int = 0) -> DataFrame:
+    """Chunks of documents: their other columns (if ``rows``), token numbers, lengths, targets, and words with counts."""
+    rest = _rest(docs, text) if rows else docs.select()
+    mine = F.coalesce(F.col(target), F.lit(False)) if target else F.lit(False)
+    width = len(rest.columns)
+    source = docs.select(*[docs[c] for c in rest.columns], text_of(text).alias("_text"), mine.alias("_target"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = first + (TaskContext.get().partitionId() << 32)
+        numbers, tokens, targets, parts, held = _Numbers(), [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            words = list(both[0])
-            made = pa.RecordBatch.from_arrays(
+            ids = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int32)
+            lengths = np.array([len(x) for x in tokens], dtype=np.int64)
+            flags = np.array(targets, dtype=bool)
+            n = np.bincount(ids, minlength=len(numbers))
+            n_target = np.bincount(ids[np.repeat(flags, lengths)], minlength=len(numbers))
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, parts[0].schema) as stream:
+                for part in parts:
+                    stream.write_batch(part)
+            words = pa.StructArray.from_arrays(
+                [pa.array(list(numbers), pa.string()), pa.array(n, pa.int64()), pa.array(n_target, pa.int64())],
+                names=["word", "n", "n_target"],
+            )
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(words, pa.string()),
-                    pa.array([both[0][w] for w in words], pa.int64()),
-                    pa.array([both[1][w] for w in words], pa.int64()),
+                    pa.array([number], pa.int64()),
+                    pa.array([zlib.compress(sink.getvalue(), 1)], pa.binary()),
+                    pa.array([zlib.compress(ids.astype("<i4").tobytes(), 1)], pa.binary()),
+                    pa.array([_packed(lengths)], pa.binary()),
+                    pa.array([_packed(flags)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                 ],
-                names=["word", "n", "n_target"],
+                names=["chunk", "rows", "tokens", "lengths", "targets", "words"],
             )
-            both[0].clear()
-            both[1].clear()
-            return made
 
         for batch in batches:
-            for value, mine in zip(batch.column(0), batch.column(1).to_pylist()):
+            begin = 0
+            others = batch.select(list(range(width)))
+            for i, (value, flag) in enumerate(zip(batch.column(width), batch.column(width + 1).to_pylist())):
                 words = words_of(value.as_py())
-                both[0].update(words)
-                if mine:
-                    both[1].update(words)
-                if len(both[0]) > HELD:
+                tokens.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+                targets.append(flag)
+                held += len(words)
+                if held >= CHUNK:
+                    parts.append(others.slice(begin, i + 1 - begin))
                     yield out()
-        if both[0]:
+                    number, begin, held = number + 1, i + 1, 0
+                    numbers, tokens, targets, parts = _Numbers(), [], [], []
+            if begin < batch.num_rows:
+                parts.append(others.slice(begin))
+        if tokens:
             yield out()
 
-    counted = _tagged(corpus, text, target).mapInArrow(count, "word string, n bigint, n_target bigint")
-    words = cut(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-    step = F.floor(F.log2(F.col("n").cast("double")) * 256)
-    listed = words.where((F.col("n") >= LEAST) & (F.col("word") != "")).withColumn("step", step)
-    bound, reached = None, 0
-    for r in listed.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 64 * 256 rows
-        reached += r["count"]
-        if reached > size:
-            break
-        bound = r["step"]
-    top = listed.where(F.col("step") >= F.lit(bound)).orderBy(F.desc("n"), "word")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    return [(r["word"], r["n"], r["n_target"]) for r in top.collect()], tuple(total)
-
-
-def pair_places(ids: np.ndarray) -> np.ndarray:
-    """Hashed place of each pair of neighbours."""
-    x = ids.astype(np.uint64)
-    return (((x[:-1] * _P + x[1:]) * _Q) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def pair_counts(corpus: DataFrame, known: dict[str, int], text: str = "text", target: str = "target") -> np.ndarray:
-    """Counts of all rows and of target rows, two rows of 2 ** PAIR_BITS places."""
-    sent = corpus.sparkSession.sparkContext.broadcast(known)
-    size, width = 1 << PAIR_BITS, (1 << PAIR_BITS) // RANGES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, both = sent.value, np.zeros((2, size), dtype=np.int64)
-        unknown, met = len(ids), False
-        for batch in batches:
-            for value, mine in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = words_of(value.as_py())
-                if len(words) < 2:
-                    continue
-                met = True
-                own = np.fromiter((ids.get(w, unknown) for w in words), dtype=np.int64, count=len(words))
-                places, n = np.unique(pair_places(own), return_counts=True)
-                both[0, places] += n
-                if mine:
-                    both[1, places] += n
-        if met:
-            yield _blobs([both[:, i * width : (i + 1) * width] for i in range(RANGES)], range(RANGES))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(zlib.decompress(blob), dtype="<i8").reshape(2, width)
-                if part != at:
-                    if total is not None:
-                        yield _blobs([total], [at])
-                    at, total = part, counts.copy()
-                else:
-                    total += counts
-        if total is not None:
-            yield _blobs([total], [at])
-
-    schema = "part int, counts binary"
-    parts = _tagged(corpus, text, target).mapInArrow(count, schema).repartition(RANGES, "part").sortWithinPartitions("part")
-    out = np.zeros((2, size), dtype=np.int64)
-    for r in parts.mapInArrow(add, schema).collect():  # RANGES rows of fixed size
-        out[:, r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8").reshape(2, width)
-    return out
-
-
-def _blobs(counts: list[np.ndarray], parts) -> pa.RecordBatch:
-    made = [zlib.compress(c.astype("<i8").tobytes(), 1) for c in counts]
-    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(made, pa.binary())], names=["part", "counts"])
+    kind = "array<struct<word: string, n: bigint, n_target: bigint>>"
+    with batches_of(docs.sparkSession, TEXTS):
+        return written(
+            source.mapInArrow(run, f"chunk bigint, rows binary, tokens binary, lengths binary, targets binary, words {kind}")
+        )
 
 
 class Models:
-    """Shared vocabulary; for background and target: word counts (the last is the unknown word) and pair counts."""
-
-    def __init__(self, known: dict[str, int], words: np.ndarray, pairs: np.ndarray) -> None:
-        self.known, self.words, self.pairs = known, words, pairs
-        self.single = [(c + ALPHA) / (c.sum() + ALPHA * len(c)) for c in words]
-
-    def losses(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Loss (negative log probability) of every token under the background and the target model."""
-        words = words_of(text)
-        ids = np.fromiter((self.known.get(w, len(self.known)) for w in words), dtype=np.int64, count=len(words))
-        places = pair_places(ids) if len(ids) > 1 else None
-        out = []
-        for counts, single, pairs in zip(self.words, self.single, self.pairs):
-            p = single[ids]
-            if places is not None:
-                before = counts[ids[:-1]]
-                after = np.minimum(pairs[places] / np.maximum(before, 1), 1.0)
-                p[1:] = np.where(before > 0, PAIR_SHARE * after + (1 - PAIR_SHARE) * p[1:], p[1:])
-            out.append(-np.log(p))
-        return out[0], out[1]
-
-
-def fit(corpus: DataFrame, text: str = "text", target: str = "target", size: int = VOCABULARY) -> Models:
-    """Counts both models over all rows of ``corpus``; rows with a true ``target`` are the target corpus."""
-    chosen, total = vocabulary(corpus, text, target, size)
-    known = {word: i for i, (word, _, _) in enumerate(chosen)}
-    words = np.zeros((2, len(known) + 1), dtype=np.int64)
-    for i, (_, n, n_target) in enumerate(chosen):
-        words[:, i] = n, n_target
-    words[:, -1] = np.array(total) - words.sum(axis=1)
-    return Models(known, words, pair_counts(corpus, known, text, target))
+    """Counts of background and target: the corpus in chunks, the vocabulary, the tokens of all and of target rows.
 
+    ``vocabulary``: word, id, n, n_target; ids are 0, 1, ... from the most frequent word on.
+    """
 
-def scored(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """Adds ``n_tokens``, ``background_loss``, ``target_loss`` (means per token) and ``score`` (their difference).
+    def __init__(self, chunks: DataFrame, vocabulary: DataFrame, size: int, total: np.ndarray, unknown: np.ndarray) -> None:
+        self.chunks, self.vocabulary, self.size, self.total, self.unknown = chunks, vocabulary, size, total, unknown
 
-    The text is dropped.  A null or empty text has no tokens and scores 0.  Rows and other columns stay; columns
-    of these names are replaced.
+    @cached_property
+    def known(self) -> dict[str, int]:
+        """Ids by word, on the driver: to look into small models."""
+        return {r["word"]: r["id"] for r in self.vocabulary.collect()}
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        """Word counts of both models by id, the last is the unknown word, on the driver: to look into small models."""
+        rows = sorted((r["id"], r["n"], r["n_target"]) for r in self.vocabulary.collect())
+        return np.column_stack([np.array([r[1:] for r in rows], dtype=np.int64).reshape(-1, 2).T, self.unknown])
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """Pair counts of both models, on the driver: to look into small models."""
+        with batches_of(self.chunks.sparkSession, CHUNKS):
+            blobs = _pair_counts(self.chunks.withColumn("asks", F.lit(False)), self, 1).collect()
+        made = [[_unpacked(r[c]) for r in blobs] for c in ("keys", "n", "n_target")]
+        made[0] = [np.cumsum(x.view(np.uint64), dtype=np.uint64) for x in made[0]]
+        return _sums(*[np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in made])[1]
+
+
+def fit(corpus: DataFrame, text: str = "text", target: str = "target", size: int | None = VOCABULARY) -> Models:
+    """Counts both models over all rows of ``corpus``; rows with a true ``target`` are the target corpus.
+
+    With a ``size``, the vocabulary is the words that are more frequent than the one in place ``size + 1``.
     """
-    names = ["n_tokens", "background_loss", "target_loss", "score"]
-    rest = docs.drop(*[c for c in names if c in docs.columns and c != text])
-    at = rest.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast((models.known, models.words, models.pairs))
+    return _fitted(chunked(corpus, text, target, rows=False), size)
+
+
+def _fitted(chunks: DataFrame, size: int | None) -> Models:
+    one = chunks.select(F.explode("words").alias("w")).select("w.*")
+    words = written(one.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target")]
+    total = np.array(words.agg(*sums).first(), dtype=np.int64)
+    listed = words.where((F.col("n") >= LEAST) & (F.col("word") != "")).orderBy(F.desc("n"), "word")
+    # places within ordered partitions, then the words before each partition (one row a partition)
+    placed = written(listed.withColumn("place", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright("place", 33).alias("part")).count().orderBy("part").collect()
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["part"], before))
+        before += r["count"]
+    if before >= _UNKNOWN:
+        raise ValueError(f"{before} words do not fit into 32 bits")
+    offsets = chunks.sparkSession.createDataFrame(starts, "part bigint, before bigint")
+    numbered = placed.join(F.broadcast(offsets), F.shiftright("place", 33) == F.col("part")).select(
+        "word", (F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("id"), "n", "n_target"
+    )
+    beyond = None if size is None else numbered.where(F.col("id") == size).first()
+    if beyond is not None:
+        numbered = numbered.where(F.col("n") > beyond["n"])
+    held = numbered.agg(F.count(F.lit(1)), *sums).first()
+    return Models(chunks, numbered, held[0], total, total - np.array(held[1:], dtype=np.int64))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """One to one on 64 bits."""
+    x = (x ^ (x >> _33)) * _A
+    x = (x ^ (x >> _33)) * _B
+    return x ^ (x >> _33)
+
+
+def _sums(keys: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its place among the distinct ones, and the sums by place (as rows: all, target)."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    out = np.zeros((2, len(distinct)), dtype=np.int64)
+    for row, values in zip(out, (n, n_target)):
+        np.add.at(row, place, values)
+    return place, out
+
+
+class _Chunk:
+    """A chunk with what its words are in the vocabulary."""
+
+    def __init__(self, row: dict, unknown: np.ndarray) -> None:
+        self.tokens = np.frombuffer(zlib.decompress(row["tokens"].as_buffer()), dtype="<i4")
+        self.lengths = _unpacked(row["lengths"].as_buffer())
+        self.targets = _unpacked(row["targets"].as_buffer()) > 0
+        size = int(self.tokens.max()) + 1 if len(self.tokens) else 0
+        self.ids = np.full(size, _UNKNOWN, dtype=np.uint64)
+        self.counts = np.repeat(unknown[:, None], size, axis=1)
+        found = row["found"].values
+        if found is not None:
+            at, number, n, n_target = (found.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            self.ids[at] = number
+            self.counts[:, at] = n, n_target
+        starts = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        follows = np.ones(len(self.tokens), dtype=bool)
+        follows[starts] = False
+        #: Tokens that have a predecessor in their document; the distinct pairs, and the place of each token's pair.
+        self.at = np.flatnonzero(follows)
+        ids = self.ids[self.tokens]
+        self.keys, self.place = np.unique(_mix(ids[self.at - 1] << np.uint64(32) | ids[self.at]), return_inverse=True)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], unknown: np.ndarray) -> Iterator[tuple[dict, _Chunk]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            yield row, _Chunk(row, unknown)
+
+
+def _with_words(chunks: DataFrame, models: Models) -> DataFrame:
+    """``chunks`` with ``found``: place in the chunk, id and counts of those of its words that are in the vocabulary."""
+    asked = chunks.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", "at", F.col("w.word").alias("word"))
+    met = asked.join(models.vocabulary, "word").select("chunk", F.struct("at", "id", "n", "n_target").alias("f"))
+    found = met.groupBy("chunk").agg(F.collect_list("f").alias("found"))
+    return chunks.drop("words").join(found, "chunk", "left")
+
+
+def _pair_counts(chunks: DataFrame, models: Models, ranges: int, worded: DataFrame | None = None) -> DataFrame:
+    """One row for each chunk and range of keys: the chunk's distinct pairs and how often it counts them."""
+    unknown, bits = models.unknown, max(1, math.ceil(math.log2(ranges)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Models(*sent.value)
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        for row, chunk in _chunks(batches, unknown):
+            size = len(chunk.keys)
+            if row["chunk"].as_py() < _OTHER:
+                n = np.bincount(chunk.place, minlength=size)
+                mine = np.repeat(chunk.targets, chunk.lengths)[chunk.at]
+                n_target = np.bincount(chunk.place[mine], minlength=size)
+            else:
+                n = n_target = np.zeros(size, dtype=np.int64)
+            cuts = [0, *np.searchsorted(chunk.keys, edges).tolist(), size]
+            some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            steps = [np.diff(chunk.keys[a:b], prepend=np.uint64(0)).view(np.int64) for _, a, b in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p for p, _, _ in some], pa.int32()),
+                    pa.array([row["chunk"].as_py()] * len(some), pa.int64()),
+                    pa.array([row["asks"].as_py()] * len(some), pa.bool_()),
+                    pa.array([_packed(x) for x in steps], pa.binary()),
+                    pa.array([_packed(n[a:b]) for _, a, b in some], pa.binary()),
+                    pa.array([_packed(n_target[a:b]) for _, a, b in some], pa.binary()),
+                ],
+                names=["part", "chunk", "asks", "keys", "n", "n_target"],
+            )
+
+    rows = (worded or _with_words(chunks, models)).drop("rows")
+    return rows.mapInArrow(run, "part int, chunk bigint, asks boolean, keys binary, n binary, n_target binary")
+
+
+def _pair_sums(counts: DataFrame) -> DataFrame:
+    """For the rows that ask: the sums of their pairs over all chunks, in the order of the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[dict]) -> pa.RecordBatch:
+            keys = [np.cumsum(_unpacked(r["keys"]).view(np.uint64), dtype=np.uint64) for r in rows]
+            place, sums = _sums(np.concatenate(keys), *[np.concatenate([_unpacked(r[c]) for r in rows]) for c in ("n", "n_target")])
+            ends = np.cumsum([len(k) for k in keys])
+            asked = [(r, place[e - len(k) : e]) for r, k, e in zip(rows, keys, ends) if r["asks"]]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r["chunk"] for r, _ in asked], pa.int64()),
+                    pa.array([r["part"] for r, _ in asked], pa.int32()),
+                    *[pa.array([_packed(total[p]) for _, p in asked], pa.binary()) for total in sums],
+                ],
+                names=["chunk", "part", "n", "n_target"],
+            )
+
+        part, rows = None, []
         for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part and rows:
+                    yield done(rows)
+                    rows = []
+                part = r["part"]
+                rows.append(r)
+        if rows:
+            yield done(rows)
+
+    dealt = counts.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "chunk bigint, part int, n binary, n_target binary")
+
+
+def _scored(chunks: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
+    """Scores of the rows of the ``chunks`` that ask; ``rest`` has the schema of their other columns."""
+    others = chunks.where(F.col("chunk") >= _OTHER).select(F.explode("words.n").alias("n"))
+    tokens = int(models.total[0]) + others.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    worded = written(_with_words(chunks, models))
+    sums = written(_pair_sums(_pair_counts(chunks, models, max(2, math.ceil(tokens / RANGE)), worded)))
+    replies = sums.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "n_target")).alias("sums"))
+    unknown, total, size = models.unknown, models.total, models.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, chunk in _chunks(batches, unknown):
+            answered = sorted(row["sums"].as_py() or [], key=lambda r: r["part"])
+            losses = []
+            for c, name in enumerate(("n", "n_target")):
+                counts = chunk.counts[c][chunk.tokens]
+                p = (counts + ALPHA) / (total[c] + ALPHA * (size + 1))
+                if len(chunk.at):
+                    before = counts[chunk.at - 1]
+                    after = np.concatenate([_unpacked(r[name]) for r in answered])[chunk.place] / np.maximum(before, 1)
+                    p[chunk.at] = np.where(before > 0, PAIR_SHARE * after + (1 - PAIR_SHARE) * p[chunk.at], p[chunk.at])
+                losses.append(-np.log(p))
+            ends = np.cumsum(chunk.lengths)
             rows = []
-            for value in batch.column(at):
-                background, target = own.losses(value.as_py())
-                n = len(background)
-                means = (float(background.sum()) / n, float(target.sum()) / n) if n else (0.0, 0.0)
+            for n, end in zip(chunk.lengths.tolist(), ends.tolist()):
+                means = [float(x[end - n : end].sum()) / n if n else 0.0 for x in losses]
                 rows.append((n, *means, means[0] - means[1]))
             added = [pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.float64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
+            kept = pa.ipc.open_stream(zlib.decompress(row["rows"].as_buffer())).read_all().combine_chunks()
+            columns = [pa.concat_arrays(x.chunks) if x.num_chunks != 1 else x.chunk(0) for x in kept.columns]
+            yield pa.RecordBatch.from_arrays([*columns, *added], names=[*kept.schema.names, *_NAMES])
+
+    schema = rest.withColumn("n_tokens", F.lit(0).cast("bigint"))
+    for name in _NAMES[1:]:
+        schema = schema.withColumn(name, F.lit(0.0))
+    return written(worded.where("asks").join(replies, "chunk", "left").mapInArrow(run, schema.schema))
+
+
+def scored(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    """Adds ``n_tokens``, ``background_loss``, ``target_loss`` (means per token) and ``score`` (their difference).
+
+    The text is dropped.  A null or empty text has no tokens and scores 0.  Rows and other columns stay; columns
+    of these names are replaced.
+    """
+    own = chunked(docs, text, first=_OTHER).withColumn("asks", F.lit(True))
+    with batches_of(docs.sparkSession, CHUNKS):
+        return _scored(models.chunks.withColumn("asks", F.lit(False)).unionAll(own), models, _rest(docs, text))
+
 
-    zero = rest.withColumn("n_tokens", F.lit(0).cast("bigint"))
-    for name in names[1:]:
-        zero = zero.withColumn(name, F.lit(0.0))
-    return rest.mapInArrow(run, zero.schema).drop(text)
+def fitted_and_scored(corpus: DataFrame, text: str = "text", target: str = "target", size: int | None = VOCABULARY) -> DataFrame:
+    """``scored(corpus, fit(corpus))`` with one reading of the texts."""
+    chunks = chunked(corpus, text, target)
+    with batches_of(corpus.sparkSession, CHUNKS):
+        return _scored(chunks.withColumn("asks", F.lit(True)), _fitted(chunks, size), _rest(corpus, text))

@@ -111,5 +111,4 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     # 8 bytes a label; more labels than the checked bound join by a shuffle
-    models = language.fit(docs.join(checked_broadcast(cut(good), 1_000_000), "doc_id", "left"))
-    return language.scored(docs, models)
+    return language.fitted_and_scored(docs.join(checked_broadcast(cut(good), 1_000_000), "doc_id", "left")).drop("target")

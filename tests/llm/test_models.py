@@ -171,3 +171,34 @@ def test_empty_corpora(spark):
     assert language.scored(empty, models).count() == 0
     one = spark.createDataFrame([(1, "word")], "doc_id int, text string")
     assert math.isfinite(language.scored(one, models).first()["score"])
+
+
+def test_every_pair_has_its_own_count(spark, monkeypatch):
+    """More distinct pairs than the 2 ** 20 hashed places there once were, over several chunks and ranges."""
+    rng = np.random.default_rng(4)
+    words = 3000
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, words, size=20_000)) for _ in range(80)]
+    frame = spark.createDataFrame([(i, t, i % 4 == 0) for i, t in enumerate(texts)], "doc_id int, text string, target boolean").repartition(4)
+    monkeypatch.setattr(language, "CHUNK", 90_000)
+    monkeypatch.setattr(language, "RANGE", 200_000)
+    after = [Counter(), Counter()]
+    single = [Counter(), Counter()]
+    for i, t in enumerate(texts):
+        own = t.split()
+        for m in range(2 if i % 4 == 0 else 1):
+            single[m].update(own)
+            after[m].update(zip(own, own[1:]))
+    assert len(after[0]) > 1 << 20
+    models = language.fit(frame)
+    assert [len(p[p > 0]) for p in models.pairs] == [len(a) for a in after]
+    whole = {r["doc_id"]: r for r in language.fitted_and_scored(frame).collect()}
+    apart = {r["doc_id"]: r for r in language.scored(frame.where("doc_id < 3"), models).collect()}
+    for i in (0, 1, 2):
+        own, losses = texts[i].split(), []
+        for c, pairs in zip(single, after):
+            p = [(c[w] + language.ALPHA) / (c.total() + language.ALPHA * (len(single[0]) + 1)) for w in own]
+            mixed = [language.PAIR_SHARE * pairs[a, b] / c[a] + (1 - language.PAIR_SHARE) * x if c[a] else x for a, b, x in zip(own, own[1:], p[1:])]
+            losses.append(-sum(map(math.log, [p[0], *mixed])) / len(own))
+        for got in (whole[i], apart[i]):
+            assert (got["background_loss"], got["target_loss"]) == pytest.approx(losses, abs=1e-9)
+    assert len(whole) == 80
