@@ -14,6 +14,7 @@ numbered, and a pair is the 64-bit number of its two words, mixed one to one: di
 
 from __future__ import annotations
 
+import gc
 import io
 import math
 import zlib
@@ -23,15 +24,15 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinalia.llm.common import batches_of, text_of, written
 
-#: Words of the shared vocabulary (None: all); least count of a word.
-VOCABULARY, LEAST = 100_000, 3
+#: Least count of a word of the shared vocabulary.
+LEAST = 3
 #: Tokens of a chunk; pairs of a range that one task sums; texts and chunks in an Arrow batch.
-CHUNK, RANGE, TEXTS, CHUNKS = 1_000_000, 1_000_000, 2000, 2
+CHUNK, RANGE, TEXTS, CHUNKS = 1_000_000, 500_000, 1000, 1
 #: Added to every word count; share of the pair model.
 ALPHA, PAIR_SHARE = 0.5, 0.4
 #: Number of the unknown word; ids of chunks that are not of the corpus start here.
@@ -54,6 +55,19 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
+def _release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Gives back the disk of written ``tables`` that are read no more, and of the shuffles behind finished steps.
+
+    Shuffle files go with the driver's garbage, which is rarely collected by itself.
+    """
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 class _Numbers(dict):
     """Numbers of the words of a chunk, in order of appearance."""
 
@@ -82,20 +96,22 @@ def chunked(docs: DataFrame, text: str, target: str | None = None, rows: bool =
             lengths = np.array([len(x) for x in tokens], dtype=np.int64)
             flags = np.array(targets, dtype=bool)
             n = np.bincount(ids, minlength=len(numbers))
+            often = np.argsort(-n, kind="stable")  # small numbers for frequent words take less room
+            ids, n = np.argsort(often)[ids], n[often]
             n_target = np.bincount(ids[np.repeat(flags, lengths)], minlength=len(numbers))
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, parts[0].schema) as stream:
                 for part in parts:
                     stream.write_batch(part)
             words = pa.StructArray.from_arrays(
-                [pa.array(list(numbers), pa.string()), pa.array(n, pa.int64()), pa.array(n_target, pa.int64())],
+                [pa.array(list(numbers), pa.string()).take(pa.array(often)), pa.array(n, pa.int64()), pa.array(n_target, pa.int64())],
                 names=["word", "n", "n_target"],
             )
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
                     pa.array([zlib.compress(sink.getvalue(), 1)], pa.binary()),
-                    pa.array([zlib.compress(ids.astype("<i4").tobytes(), 1)], pa.binary()),
+                    pa.array([_packed(ids)], pa.binary()),
                     pa.array([_packed(lengths)], pa.binary()),
                     pa.array([_packed(flags)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
@@ -158,10 +174,11 @@ class Models:
         return _sums(*[np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in made])[1]
 
 
-def fit(corpus: DataFrame, text: str = "text", target: str = "target", size: int | None = VOCABULARY) -> Models:
+def fit(corpus: DataFrame, text: str = "text", target: str = "target", size: int | None = None) -> Models:
     """Counts both models over all rows of ``corpus``; rows with a true ``target`` are the target corpus.
 
-    With a ``size``, the vocabulary is the words that are more frequent than the one in place ``size + 1``.
+    Every word with LEAST or more occurrences is in the vocabulary.  With a ``size``, only those that are more frequent
+    than the one in place ``size + 1``.
     """
     return _fitted(chunked(corpus, text, target, rows=False), size)
 
@@ -174,6 +191,7 @@ def _fitted(chunks: DataFrame, size: int | None) -> Models:
     listed = words.where((F.col("n") >= LEAST) & (F.col("word") != "")).orderBy(F.desc("n"), "word")
     # places within ordered partitions, then the words before each partition (one row a partition)
     placed = written(listed.withColumn("place", F.monotonically_increasing_id()))
+    _release(chunks.sparkSession, words)
     counts = placed.groupBy(F.shiftright("place", 33).alias("part")).count().orderBy("part").collect()
     before, starts = 0, []
     for r in counts:
@@ -212,7 +230,7 @@ class _Chunk:
     """A chunk with what its words are in the vocabulary."""
 
     def __init__(self, row: dict, unknown: np.ndarray) -> None:
-        self.tokens = np.frombuffer(zlib.decompress(row["tokens"].as_buffer()), dtype="<i4")
+        self.tokens = _unpacked(row["tokens"].as_buffer())
         self.lengths = _unpacked(row["lengths"].as_buffer())
         self.targets = _unpacked(row["targets"].as_buffer()) > 0
         size = int(self.tokens.max()) + 1 if len(self.tokens) else 0
@@ -313,12 +331,17 @@ def _pair_sums(counts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "chunk bigint, part int, n binary, n_target binary")
 
 
-def _scored(chunks: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
-    """Scores of the rows of the ``chunks`` that ask; ``rest`` has the schema of their other columns."""
+def _scored(chunks: DataFrame, models: Models, rest: DataFrame, own: list[DataFrame]) -> DataFrame:
+    """Scores of the rows of the ``chunks`` that ask; ``rest`` has the schema of their other columns.
+
+    ``own``: tables behind ``chunks`` that nobody else needs.
+    """
     others = chunks.where(F.col("chunk") >= _OTHER).select(F.explode("words.n").alias("n"))
     tokens = int(models.total[0]) + others.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     worded = written(_with_words(chunks, models))
+    _release(rest.sparkSession, *own)
     sums = written(_pair_sums(_pair_counts(chunks, models, max(2, math.ceil(tokens / RANGE)), worded)))
+    _release(rest.sparkSession)
     replies = sums.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "n_target")).alias("sums"))
     unknown, total, size = models.unknown, models.total, models.size
 
@@ -356,13 +379,14 @@ def scored(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     The text is dropped.  A null or empty text has no tokens and scores 0.  Rows and other columns stay; columns
     of these names are replaced.
     """
-    own = chunked(docs, text, first=_OTHER).withColumn("asks", F.lit(True))
+    own = chunked(docs, text, first=_OTHER)
+    both = models.chunks.withColumn("asks", F.lit(False)).unionAll(own.withColumn("asks", F.lit(True)))
     with batches_of(docs.sparkSession, CHUNKS):
-        return _scored(models.chunks.withColumn("asks", F.lit(False)).unionAll(own), models, _rest(docs, text))
+        return _scored(both, models, _rest(docs, text), [own])
 
 
-def fitted_and_scored(corpus: DataFrame, text: str = "text", target: str = "target", size: int | None = VOCABULARY) -> DataFrame:
+def fitted_and_scored(corpus: DataFrame, text: str = "text", target: str = "target", size: int | None = None) -> DataFrame:
     """``scored(corpus, fit(corpus))`` with one reading of the texts."""
     chunks = chunked(corpus, text, target)
     with batches_of(corpus.sparkSession, CHUNKS):
-        return _scored(chunks.withColumn("asks", F.lit(True)), _fitted(chunks, size), _rest(corpus, text))
+        return _scored(chunks.withColumn("asks", F.lit(True)), _fitted(chunks, size), _rest(corpus, text), [chunks])

@@ -202,3 +202,16 @@ def test_every_pair_has_its_own_count(spark, monkeypatch):
         for got in (whole[i], apart[i]):
             assert (got["background_loss"], got["target_loss"]) == pytest.approx(losses, abs=1e-9)
     assert len(whole) == 80
+
+
+def test_every_word_with_enough_occurrences_is_in_the_vocabulary(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    rows = [(i, " ".join(words + ["twice"] * (i < 2)), i == 0) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, target boolean")
+    models = language.fit(frame)
+    assert set(models.known) == set(words) and sorted(models.known.values()) == list(range(len(words)))
+    assert models.unknown.tolist() == [2, 1]
+    # all words tie beyond the wanted size: none is more frequent, every word is the unknown one
+    none = language.fit(frame, size=10)
+    assert none.known == {} and none.unknown.tolist() == [360_002, 120_001]
+    assert {r["n_tokens"] for r in language.scored(frame, none).collect()} == {120_000, 120_001}
