@@ -30,6 +30,8 @@ _FOLD = str.maketrans(HOMOGLYPHS)
 _DIGIT = str.maketrans(DIGITS)
 #: One or two such digits or marks before a letter, inside a word or at its start.
 _MIXED = re.compile(r"(?<![0-9@$])[0134578@$]{1,2}(?=[^\W\d_])")
+#: Any run of them after a letter, for the second reading.
+_AFTER = re.compile(r"(?<=[^\W\d_])[0134578@$]+")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 #: Bounds of the sample: rows of each class, code points in all; entries kept; lengths of word starts.
@@ -49,6 +51,11 @@ def folded(text: str) -> str:
     return _MIXED.sub(lambda m: m[0].translate(_DIGIT), low)
 
 
+def reread(low: str) -> str:
+    """The second reading of a folded text: all marks that follow a letter are letters too; of the same length."""
+    return _AFTER.sub(lambda m: m[0].translate(_DIGIT), low)
+
+
 class Lexicon:
     """entries: word or ``start*`` -> weight; exceptions: phrases; bias and slope of the score."""
 
@@ -95,10 +102,19 @@ class Matcher:
                 found[at] = (at, end, weight)
         return [h for h in found.values() if not any(a <= h[0] and h[1] <= b for a, b in covered)]
 
+    def weight(self, low: str) -> float:
+        """Weight of the hits of a folded text; of its two readings the heavier hit of a word counts."""
+        found = {h[0]: h[2] for h in self.hits(low)}
+        second = reread(low)
+        if second != low:
+            for at, _, weight in self.hits(second):
+                found[at] = max(weight, found.get(at, 0.0))
+        return sum(found.values())
+
     def score(self, text: str) -> float:
         low = folded(text)
         words = len(low.split())
-        weight = sum(h[2] for h in self.hits(low))
+        weight = self.weight(low)
         z = self.lexicon.slope * (weight / math.sqrt(max(words, 1)) - self.lexicon.bias)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -135,7 +151,7 @@ def learn_lexicon(rows: Iterable[tuple[str, int]]) -> Lexicon:
     exceptions = _exceptions(docs, entries)
     lexicon = Lexicon(entries, exceptions)
     matcher = lexicon.matcher()
-    marks = [(sum(h[2] for h in matcher.hits(t)) / math.sqrt(max(1, len(t.split()))), label) for t, label in docs]
+    marks = [(matcher.weight(t) / math.sqrt(max(1, len(t.split()))), label) for t, label in docs]
     lexicon.bias = _cut(marks, size)
     lexicon.slope = 4.0 / max(lexicon.bias, 1e-6)
     return lexicon

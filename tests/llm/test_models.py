@@ -215,3 +215,11 @@ def test_every_word_with_enough_occurrences_is_in_the_vocabulary(spark):
     none = language.fit(frame, size=10)
     assert none.known == {} and none.unknown.tolist() == [360_002, 120_001]
     assert {r["n_tokens"] for r in language.scored(frame, none).collect()} == {120_000, 120_001}
+
+
+def test_marks_at_the_end_and_long_runs_are_read_as_letters():
+    words = ["idiot", "loser", "asshole", "whore", "pathetic", "clowns", "useless", "word"]
+    matcher = toxicity.Lexicon({w: 2.0 for w in words}).matcher()
+    for disguised in ["idi07", "l053r", "asshol3", "wh0r3", "p47h371c", "cl0wn5", "u5el3s5", "word$$$", "1d10t"]:
+        assert matcher.weight(toxicity.folded(f"you {disguised} there")) == 2.0, disguised
+    assert matcher.weight(toxicity.folded("paid 100 $ in 2015")) == 0.0
