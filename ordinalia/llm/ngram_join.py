@@ -129,10 +129,11 @@ def keys_of(tokens: np.ndarray, order: Order, num: int, den: int) -> np.ndarray:
         for level in range(smallest.bit_length() - 1, size.bit_length()):
             top = (2 << level) - 1
             seed = _mix(np.array([level + 1], dtype=np.uint64))
-            if 1 << level < SINGLE_UNDER:
+            colours = top - int(least_overlap(top, num, den)) + 1
+            # a pair meets in the level of its smaller set; two shared tokens of one colour need more tokens than colours
+            if 1 << level < SINGLE_UNDER or least_overlap(1 << level, num, den) <= colours:
                 keys.append(_mix(often[: prefix - before] ^ seed))
                 continue
-            colours = top - int(least_overlap(top, num, den)) + 1
             used = often[: max(0, size - least + colours + 1 - before)]
             colour = (_mix(used) % np.uint64(colours)).astype(np.int64)
             by = np.argsort(colour, kind="stable")

@@ -203,3 +203,17 @@ def test_registered_queries_return_a_row_for_each_document(spark, name):
     table = "embeddings" if name == "op8_" else "documents"
     own = {r[0] for r in spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select("vec_id" if name == "op8_" else "doc_id").collect()}
     assert ids == ({i for i in own if i % 50 == 0} if name == "op8_" else own)
+
+
+@pytest.mark.parametrize(("num", "shared"), [(50, 6), (60, 6)])
+def test_pairs_of_few_shared_frequent_tokens_have_a_common_key(num, shared):
+    rng = random.Random(9)
+    full = np.full(1 << (ngram_join.MAP_BITS - 3), 255, dtype=np.uint8)
+    for _ in range(300):
+        tokens = [rng.getrandbits(64) for _ in range(16 - shared)]
+        often = np.sort(np.array(tokens, dtype=np.uint64) >> np.uint64(20))
+        order = ngram_join.Order(20, full, often, np.arange(len(often)) % 3)
+        x, y = tokens[:8], tokens[8 - shared : 16 - shared]
+        assert 100 * shared >= num * (16 - shared)
+        a, b = (ngram_join.keys_of(np.array(sorted(s), dtype=np.uint64), order, num, 100) for s in (x, y))
+        assert len(np.intersect1d(a, b))
