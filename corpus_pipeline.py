@@ -19,7 +19,7 @@ from ordinalia.runtime import checked_broadcast, cut
 
 #: Near duplicates: words of a shingle, least similarity.
 SHINGLE, SIMILAR = 5, (80, 100)
-#: Ids of dropped documents that may be sent to every executor (8 bytes each); more are joined by a shuffle.
+#: Ids of dropped documents that may be sent to every executor (16 bytes each); more are joined by a shuffle.
 SENT_IDS = 1_000_000
 
 
@@ -50,8 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are in no group.
     """
     rows, back = _plain(docs)
-    behind = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    rows = rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), behind))
+    # different texts under one id are different documents: the smaller id first, then the digest
+    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(1 << 62))
+    rows = rows.withColumn("_key", F.struct(place.alias("id"), F.xxhash64("text").alias("digest")))
     found = cut(ngram_join.linked(rows, SHINGLE, SIMILAR, key="_key"))
     dropped = cut(found.where("component_id != _key").select("_key").distinct())
     repeated = cut(found.groupBy("_key").count().where("count > 1").select("_key"))

@@ -217,3 +217,14 @@ def test_pairs_of_few_shared_frequent_tokens_have_a_common_key(num, shared):
         assert 100 * shared >= num * (16 - shared)
         a, b = (ngram_join.keys_of(np.array(sorted(s), dtype=np.uint64), order, num, 100) for s in (x, y))
         assert len(np.intersect1d(a, b))
+
+
+def test_one_id_on_two_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, alone = " ".join([*base[:59], "other"]), " ".join(f"v{i}" for i in range(40))
+    twin = [f"u{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, near), (2, alone), (3, " ".join(twin)), (3, " ".join([*twin[:59], "end"])), (None, alone + " x")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()]
+    assert (1, rows[0][1]) in left and (2, alone) in left
+    assert [i for i, _ in left].count(3) == 1 and len(left) == 3
