@@ -66,3 +66,27 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+class Memory:
+    """What a worker process remembers of words: a young and an old generation of at most ``limit`` entries each.
+
+    When the young one is full it becomes the old one, and the old one goes; an entry that is asked for again moves to
+    the young one.  So what is frequent stays, and the bound holds however many words there are.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, words: list[str]) -> list[str]:
+        """Those of the distinct ``words`` (``limit`` at most) that are not remembered; the others are in ``young`` afterwards."""
+        rest = [w for w in words if w not in self.young]
+        if not rest:
+            return rest
+        if len(self.young) + len(rest) > self.limit:
+            kept_ = {w: self.old[w] for w in rest if w in self.old} | {w: self.young[w] for w in words if w in self.young}
+            self.old, self.young = self.young, kept_
+            return [w for w in rest if w not in kept_]
+        found = {w: self.old[w] for w in rest if w in self.old}
+        self.young.update(found)
+        return [w for w in rest if w not in found] if found else rest

@@ -10,7 +10,21 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from ordinalia.llm import language, licences, neighbours, ngram_join, packing, pieces, quality, rules, secrets, toxicity
+from ordinalia.llm import (
+    alignment,
+    language,
+    licences,
+    neighbours,
+    ngram_join,
+    packing,
+    pieces,
+    quality,
+    rules,
+    secrets,
+    simhash,
+    spelling,
+    toxicity,
+)
 from ordinalia.llm.common import crc32_of_id, table
 from ordinalia.runtime import checked_broadcast, cut
 
@@ -112,3 +126,21 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     # 8 bytes a label; more labels than the checked bound join by a shuffle
     return language.fitted_and_scored(docs.join(checked_broadcast(cut(good), 1_000_000), "doc_id", "left")).drop("target")
+
+
+@register
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
