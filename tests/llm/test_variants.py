@@ -117,6 +117,7 @@ def test_spelling_agrees_with_all_edits(spark, monkeypatch, group):
     stems = ["".join(rng.choice("abß") for _ in range(rng.randint(3, 8))) for _ in range(60)] + ["aaaaa", "aaaaaa", "aaaaaaa"]
     rows = [(i, " ".join(stems[int(63 * rng.random() ** 4)] + rng.choice([",", "", ".", "1x"]) for _ in range(60))) for i in range(120)]
     rows += [(900, None), (901, ""), (902, "AaAaAé ×÷ÿ ĀBCDE  ")] * 3 + [(903, "Straße STRASSE straße " * 50)]
+    rows += [(904, "abbaab " * 300 + "abbaat " * 100 + "abbact " * 40 + "abcact " * 16 + "abcactt " * 6)]  # a chain of forms
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("Word", F.lit(1)).withColumn("N", F.lit(2)).repartition(3)
     got = {r["word"]: tuple(r)[1:] for r in spelling.grouped(frame).collect()}
     wanted = brute.spelling(brute.spelling_words(rows))
