@@ -17,12 +17,15 @@ back.  So no table of all links is held anywhere, and what a task holds follows
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from ordinalia.llm.common import Memory, batches_of, kept, text_of, written
 from ordinalia.llm.tokens import OLD
 
 #: Atoms of a generation of a worker's memory; atoms of a chunk; links of a range that one task sums; texts in a batch.
-MEMORY, CHUNK, RANGE, TEXTS = 150_000, 600_000, 400_000, 500
+MEMORY, CHUNK, RANGE, TEXTS = 150_000, 1_500_000, 400_000, 500
 MARK = "▁"
 #: A space and letters; other characters up to letters or up to the space before them; other characters with the letters
 #: behind them, if two white spaces or an apostrophe stand between: there the words of the first tokenizer depend on them.
@@ -44,14 +47,8 @@ ATOM = re.compile(r" ?[^\W\d_]+|[\W\d_]*(?:\s\s|')[^\W\d_]+|[\W\d_]+(?= [^\W\d_]
 def cuts(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
     """Places in both lists after each group, in order."""
 
-    def ends(sizes: list[int]) -> dict[int, int]:
-        out, end = {}, 0
-        for place, size in enumerate(sizes, 1):
-            end += size
-            out[end] = place
-        return out
-
-    a, b = ends(a_sizes), ends(b_sizes)
+    a = dict(zip(accumulate(a_sizes), range(1, len(a_sizes) + 1)))
+    b = dict(zip(accumulate(b_sizes), range(1, len(b_sizes) + 1)))
     return [(a[end], b[end]) for end in sorted(a.keys() & b.keys())]
 
 
@@ -81,6 +78,7 @@ class Pair:
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.shift = 1 << max(1, (len(self.b_bytes) - 1).bit_length())  # a link is first id * shift + second id
         self.space = self.b.piece_to_id(MARK)
         self.atoms = Memory(MEMORY)
@@ -105,36 +103,41 @@ class Pair:
             and not any(x.isalpha() != y.isalpha() and x != MARK for p in real for x, y in zip(p, p[1:]))
         )
 
-    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[str, int, int, int, bytes] | None:
-        """Groups as text, numbers of ids of both, of groups, and all links; None if a side does not give the text."""
-        raw = text.encode("utf-8", "surrogatepass")
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+    def aligned(self, a: list[int], b: list[int], size: int) -> tuple[str, int, int, int, bytes] | None:
+        """Groups as text, numbers of ids of both, of groups, and all links; None if a side does not cover ``size`` bytes."""
+        sizes = [list(map(self.a_sizes.__getitem__, a)), list(map(self.b_sizes.__getitem__, b))]
+        if sum(sizes[0]) != size or sum(sizes[1]) != size:
             return None
-        if len(a) == 1 and len(b) == 1:
-            return f"{a[0]}|{b[0]}", 1, 1, 1, np.uint64(a[0] * self.shift + b[0]).tobytes()
-        groups, links, i, j = [], [], 0, 0
-        for x, y in cuts([len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b]):
-            groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            one, other = np.array(a[i:x], dtype=np.uint64), np.array(b[j:y], dtype=np.uint64)
-            links.append((one[:, None] * np.uint64(self.shift) + other[None, :]).tobytes())
+        groups, links, i, j, shift = [], [], 0, 0, self.shift
+        for x, y in cuts(*sizes):
+            if x == i + 1 and y == j + 1:
+                groups.append(f"{a[i]}|{b[j]}")
+                links.append(a[i] * shift + b[j])
+            else:
+                one, other = a[i:x], b[j:y]
+                groups.append(f"{','.join(map(str, one))}|{','.join(map(str, other))}")
+                links += [u * shift + v for u in one for v in other]
             i, j = x, y
-        return ";".join(groups), len(a), len(b), len(groups), b"".join(links)
+        return ";".join(groups), len(a), len(b), len(groups), array("Q", links).tobytes()
 
     def whole(self, text: str) -> tuple[str, int, int, int, bytes] | None:
-        """A space and ``text``, aligned as one atom."""
-        try:
-            a = self.a.encode(f" {text}", add_special_tokens=False).ids
-            return self.aligned(f" {text}", a, self.b.encode(text))
-        except (UnicodeError, TypeError):
+        """A space and ``text``, aligned as one atom; None if the ids of a side do not give it back."""
+        raw = f" {text}".encode()
+        a, b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
+        return self.aligned(a, b, len(raw))
 
     def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
         first = self.a.encode_batch_fast(new, add_special_tokens=False)
         # the library puts a mark in front: for an atom's own space, or, cut off again with a line break, for nothing
         second = self.b.encode([x[1:] if x[0] == " " else f"\n{x}" for x in new], num_threads=1)
         for x, a, b in zip(new, first, second):
             b = ([self.space] if x == " " else b) if x[0] == " " else b[2:]
-            self.atoms.young[x] = self.aligned(x, a.ids, b) or ()
+            # an atom has no mark of its own, so pieces of its length are its bytes
+            self.atoms.young[x] = self.aligned(a.ids, b, len(x.encode())) or ()
 
     def known(self, atoms: list[str]) -> list[tuple]:
         """What is known of distinct atoms, in their order; () where a side does not give the atom."""
@@ -142,8 +145,11 @@ class Pair:
         for at in range(0, len(atoms), MEMORY):
             some = atoms[at : at + MEMORY]
             new = self.atoms.missing(some)
-            if new:
+            gc.disable()  # many small objects and no cycles among them
+            try:
                 self._learn(new)
+            finally:
+                gc.enable()
             out += map(self.atoms.young.__getitem__, some)
         return out
 
@@ -351,7 +357,7 @@ def aligned(docs: DataFrame, first: str, second: str, key: str = "doc_id", text:
         links = chunks.agg(F.coalesce(F.sum("n_links"), F.lit(0))).first()[0]
         parts = max(8, math.ceil(links / RANGE))
         replies = written(_sums(chunks, shift, parts)).groupBy("chunk").agg(F.collect_list(F.struct("part", "value")).alias("replies"))
-        return written(_finished(chunks.drop("n", "n_links").join(replies, "chunk", "left"), shift, parts, key))
+        return _finished(chunks.drop("n", "n_links").join(replies, "chunk", "left"), shift, parts, key)
 
 
 def _finished(chunks: DataFrame, shift: int, parts: int, key: str) -> DataFrame:
