@@ -37,7 +37,7 @@ from ordinalia.llm.common import Memory, batches_of, kept, text_of, written
 from ordinalia.llm.tokens import OLD
 
 #: Atoms of a generation of a worker's memory; atoms of a chunk; links of a range that one task sums; texts in a batch.
-MEMORY, CHUNK, RANGE, TEXTS = 150_000, 1_500_000, 400_000, 500
+MEMORY, CHUNK, RANGE, TEXTS = 130_000, 1_000_000, 400_000, 500
 MARK = "▁"
 #: A space and letters; other characters up to letters or up to the space before them; other characters with the letters
 #: behind them, if two white spaces or an apostrophe stand between: there the words of the first tokenizer depend on them.

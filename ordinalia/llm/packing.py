@@ -35,12 +35,12 @@ def measured(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "d
     end = int(END_ID).to_bytes(4, "little")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        words = encoder(path)
         size = 4 * capacity
         for batch in batches:
             tokens, crcs = [], []
-            for value in batch.column(1):
-                ids = memoryview(encode(value.as_py()) + end)
+            for found in words.encode_all(value.as_py() for value in batch.column(1)):
+                ids = memoryview(found + end)
                 tokens.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + size]) for i in range(0, len(ids), size)])
             yield pa.RecordBatch.from_arrays(

@@ -1,25 +1,28 @@
 """Byte-level BPE ids by the tokenizers library, word by word with a bounded memory of words.
 
 The pre-tokenizer cuts a text into words that are encoded independently of each other, so the ids of a text are
-the ids of its words in order.  Prose repeats its words: each worker keeps the ids of the words it has met (at most
-`MEMORY`) and asks the library only for new ones, many at a time: words of a space and letters stay words when they
-are written one after another, and the bytes that each id stands for tell where a word ends.  Texts with characters on which two regular-expression
+the ids of its words in order.  Prose repeats its words: each worker keeps the ids of words it has met (two generations
+of at most `MEMORY`) and asks the library only for new ones, those of many texts at a time: words of a space and letters
+stay words when they are written one after another, and the bytes that each id stands for tell where a word ends.  Texts with characters on which two regular-expression
 engines might disagree, or with a special token's string, go to the library whole.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from ordinalia.llm.common import kept
+from ordinalia.llm.common import Memory, kept
 
-#: Words kept per worker process.
-MEMORY = 400_000
+#: Words of a generation of a worker's memory, characters of the longest one that is kept (which bounds the bytes);
+#: characters of texts whose new words are learned together.
+MEMORY, LONGEST, TOGETHER = 500_000, 64, 1_000_000
 #: The published split pattern of this kind of vocabulary, for texts of the characters below only: there a letter is
 #: what \w holds besides digits and the underscore.
 SPLIT = re.compile(r" ?[^\W\d_]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -49,7 +52,7 @@ class WordEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # byte-level vocabularies write one character for each byte
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory(MEMORY)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -57,22 +60,50 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.by_word or OLD.search(text) or any(s in text for s in self.specials):
-            return self._pack([text])[0]
-        words, memory = SPLIT.findall(text), self.memory
-        found = list(map(memory.get, words))
-        if None in found:
-            new = list({w: None for w, ids in zip(words, found) if ids is None})
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-            found = list(map(memory.get, words))
-        return b"".join(found)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of whole texts, in their order; new words of TOGETHER characters of texts are learned at once."""
+        waiting: list[str] = []
+        held = 0
+        for text in texts:
+            waiting.append(text)
+            held += len(text)
+            if held >= TOGETHER:
+                yield from self._encode(waiting)
+                waiting, held = [], 0
+        yield from self._encode(waiting)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # many small objects and no cycles among them
+        try:
+            return self._joined(texts)
+        finally:
+            gc.enable()
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        whole = [not self.by_word or bool(OLD.search(x)) or any(s in x for s in self.specials) for x in texts]
+        get = self.memory.young.get
+        words = [[] if w else SPLIT.findall(x) for w, x in zip(whole, texts)]
+        found = [list(map(get, x)) for x in words]
+        open_ = [i for i, x in enumerate(found) if None in x]
+        if open_:
+            fresh: dict[str, bytes] = dict.fromkeys(w for i in open_ for w, ids in zip(words[i], found[i]) if ids is None)
+            long = [w for w in fresh if len(w) > LONGEST]
+            fresh.update(zip(long, self._pack(long)))
+            asked = [w for w in fresh if len(w) <= LONGEST]
+            for at in range(0, len(asked), MEMORY):
+                some = asked[at : at + MEMORY]
+                new = self.memory.missing(some)
+                if new:
+                    self._learn(new)
+                fresh.update(zip(some, map(self.memory.young.__getitem__, some)))
+            for i in open_:
+                found[i] = [fresh[w] if ids is None else ids for w, ids in zip(words[i], found[i])]
+        return [(self._pack([x])[0] if x else b"") if w else b"".join(f) for w, x, f in zip(whole, texts, found)]
 
     def _learn(self, new: list[str]) -> None:
+        young = self.memory.young
         together = [w for w in new if PLAIN(w)]
         if together:
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -82,10 +113,10 @@ class WordEncoder:
             if not np.array_equal(ends[last], wanted):
                 raise ValueError("a word was not encoded by itself")
             raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-            self.memory.update(zip(together, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        others = [w for w in new if w not in self.memory]
+            young.update(zip(together, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        others = [w for w in new if w not in young]
         if others:
-            self.memory.update(zip(others, self._pack(others)))
+            young.update(zip(others, self._pack(others)))
 
 
 def encoder(path: str) -> WordEncoder:

@@ -75,7 +75,7 @@ def test_byte_ids_agree_with_the_library(monkeypatch):
     unicode = [chr(i) for i in range(1, 0x2100)]
     rng = random.Random(7)
     samples = texts(1500, 3) + ["".join(rng.choices(unicode, k=20)) for _ in range(1000)] + [f"a{x}b {x}1{x}" for x in unicode[::7]]
-    for memory in (tokens.MEMORY, 50):  # the second one is emptied again and again
+    for memory in (tokens.MEMORY, 50):  # the second one changes generations all the time
         monkeypatch.setattr(tokens, "MEMORY", memory)
         own = tokens.WordEncoder(BYTES)
         for text in samples:
