@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinalia.llm.common import Memory, batches_of, kept, text_of, written
-from ordinalia.llm.tokens import OLD
+from ordinalia.llm.tokens import OLD, byte_of
 
 #: Atoms of a generation of a worker's memory; atoms of a chunk; links of a range that one task sums; texts in a batch.
 MEMORY, CHUNK, RANGE, TEXTS = 130_000, 1_000_000, 400_000, 500
@@ -70,9 +70,7 @@ class Pair:
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True  # their strings are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=blob)
-        letters = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
-        others = [c for c in range(256) if c not in letters]
-        byte = {chr(c): c for c in letters} | {chr(256 + i): c for i, c in enumerate(others)}  # byte-level alphabet
+        byte = byte_of()
         size = max(self.a.get_vocab().values(), default=-1) + 1
         self.a_bytes: list[bytes] = [b""] * size
         for token, i in self.a.get_vocab().items():

@@ -31,6 +31,13 @@ OLD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ʯΑ-ΡА-я
 PLAIN = re.compile(r" [^\W\d_]+").fullmatch
 
 
+def byte_of() -> dict[str, int]:
+    """The byte of each character of byte-level vocabularies: printable ones are themselves, the others count from 256."""
+    printable = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+    others = [c for c in range(256) if c not in printable]
+    return {chr(c): c for c in printable} | {chr(256 + i): c for i, c in enumerate(others)}
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,8 +59,25 @@ class WordEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # byte-level vocabularies write one character for each byte
+        self.quick = self._quick(settings["model"], vocabulary) if self.by_word else None
         self.memory = Memory(MEMORY)
 
+    @staticmethod
+    def _quick(model: dict, vocabulary: dict[str, int]):
+        """The same vocabulary for another library, which is quicker with new words; None if ids don't follow the merges.
+
+        It merges the pair with the smallest id first, which is the first merge if the ids count the merges.
+        """
+        import tiktoken
+
+        byte = byte_of()
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [vocabulary.get(m) for m in merges]
+        if model.get("ignore_merges") or ids != list(range(256, 256 + len(ids))) or len(set(merges)) < len(merges):
+            return None
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(ids)}
+        return tiktoken.Encoding("words", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+
     def _pack(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encoded]
@@ -102,11 +126,16 @@ class WordEncoder:
                 found[i] = [fresh[w] if ids is None else ids for w, ids in zip(words[i], found[i])]
         return [(self._pack([x])[0] if x else b"") if w else b"".join(f) for w, x, f in zip(whole, texts, found)]
 
+    def _ids(self, words: str) -> np.ndarray:
+        if self.quick:
+            return self.quick.encode_to_numpy(words, disallowed_special=()).astype("<u4")
+        return np.array(self.tokenizer.encode_batch_fast([words], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _learn(self, new: list[str]) -> None:
         young = self.memory.young
         together = [w for w in new if PLAIN(w)]
         if together:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = self._ids("".join(together))
             ends = np.cumsum(self.bytes_of[ids])
             wanted = np.cumsum([len(w.encode()) for w in together])
             last = np.searchsorted(ends, wanted)
