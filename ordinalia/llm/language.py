@@ -8,8 +8,12 @@ its tokens, of background loss minus target loss: the higher, the more it reads
 Counts of words and of (predecessor, word) pairs are exact, and no table is held in one place.  The documents are cut
 into chunks of about CHUNK tokens, tokenised once.  A chunk hands out each of its distinct words and pairs once, with
 its own counts; they are summed by word and by pair, and the chunk gets the sums back.  So what a task holds follows
-the chunk, and a key has at most one row per chunk, however frequent it is.  Words of the vocabulary are
-numbered, and a pair is the 64-bit number of its two words, mixed one to one: different pairs never meet.
+the chunk, and a key has at most one row per chunk, however frequent it is.  What comes back is the count in the other
+chunks, which is zero for most pairs.  Words of the vocabulary are numbered, and a pair is the number of its two words,
+mixed one to one within its bits: different pairs never meet.
+
+A document of the corpus is scored by models without it: its own words and pairs are taken off both counts (off the
+target's if it is a target document), or its score would repeat its label.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ LEAST = 3
 CHUNK, RANGE, TEXTS, CHUNKS = 1_000_000, 500_000, 1000, 1
 #: Added to every word count; share of the pair model.
 ALPHA, PAIR_SHARE = 0.5, 0.4
-#: Number of the unknown word; ids of chunks that are not of the corpus start here.
-_UNKNOWN, _OTHER = (1 << 32) - 1, 1 << 61
+#: Ids of chunks that are not of the corpus start here; bits of a word's number at most.
+_OTHER, _BITS = 1 << 61, 32
 _NAMES = ["n_tokens", "background_loss", "target_loss", "score"]
-_A, _B, _33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
+_A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -197,7 +201,7 @@ def _fitted(chunks: DataFrame, size: int | None) -> Models:
     for r in counts:
         starts.append((r["part"], before))
         before += r["count"]
-    if before >= _UNKNOWN:
+    if before.bit_length() > _BITS:
         raise ValueError(f"{before} words do not fit into 32 bits")
     offsets = chunks.sparkSession.createDataFrame(starts, "part bigint, before bigint")
     numbered = placed.join(F.broadcast(offsets), F.shiftright("place", 33) == F.col("part")).select(
@@ -210,11 +214,12 @@ def _fitted(chunks: DataFrame, size: int | None) -> Models:
     return Models(chunks, numbered, held[0], total, total - np.array(held[1:], dtype=np.int64))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """One to one on 64 bits."""
-    x = (x ^ (x >> _33)) * _A
-    x = (x ^ (x >> _33)) * _B
-    return x ^ (x >> _33)
+def _mix(x: np.ndarray, bits: int) -> np.ndarray:
+    """One to one on numbers of this many bits (at least two)."""
+    half, mask = np.uint64(bits // 2), np.uint64((1 << bits) - 1)
+    for factor in (_A, _B):
+        x = ((x ^ (x >> half)) * factor) & mask
+    return x ^ (x >> half)
 
 
 def _sums(keys: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,12 +234,13 @@ def _sums(keys: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> tuple[np.nda
 class _Chunk:
     """A chunk with what its words are in the vocabulary."""
 
-    def __init__(self, row: dict, unknown: np.ndarray) -> None:
+    def __init__(self, row: dict, unknown: np.ndarray, known: int) -> None:
+        self.of_corpus = row["chunk"].as_py() < _OTHER
         self.tokens = _unpacked(row["tokens"].as_buffer())
         self.lengths = _unpacked(row["lengths"].as_buffer())
         self.targets = _unpacked(row["targets"].as_buffer()) > 0
         size = int(self.tokens.max()) + 1 if len(self.tokens) else 0
-        self.ids = np.full(size, _UNKNOWN, dtype=np.uint64)
+        self.ids = np.full(size, known, dtype=np.uint64)  # the unknown word comes after the others
         self.counts = np.repeat(unknown[:, None], size, axis=1)
         found = row["found"].values
         if found is not None:
@@ -247,14 +253,33 @@ class _Chunk:
         #: Tokens that have a predecessor in their document; the distinct pairs, and the place of each token's pair.
         self.at = np.flatnonzero(follows)
         ids = self.ids[self.tokens]
-        self.keys, self.place = np.unique(_mix(ids[self.at - 1] << np.uint64(32) | ids[self.at]), return_inverse=True)
+        pairs = ids[self.at - 1] << np.uint64(known.bit_length()) | ids[self.at]
+        self.keys, self.place = np.unique(_mix(pairs, 2 * max(1, known.bit_length())), return_inverse=True)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the chunk's documents have each distinct pair: all, target; zero if they are not of the corpus."""
+        size = len(self.keys)
+        if not self.of_corpus:
+            return np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        mine = self.targets[self.doc[self.at]]
+        return np.bincount(self.place, minlength=size), np.bincount(self.place[mine], minlength=size)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each token (and each token of ``at``): how often its document has its word (and its pair)."""
+
+        def repeats(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+            _, place, n = np.unique(doc * (int(values.max(initial=0)) + 1) + values, return_inverse=True, return_counts=True)
+            return n[place]
 
+        return repeats(self.ids[self.tokens].astype(np.int64), self.doc), repeats(self.place, self.doc[self.at])
 
-def _chunks(batches: Iterator[pa.RecordBatch], unknown: np.ndarray) -> Iterator[tuple[dict, _Chunk]]:
+
+def _chunks(batches: Iterator[pa.RecordBatch], unknown: np.ndarray, known: int) -> Iterator[tuple[dict, _Chunk]]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i] for name in batch.schema.names}
-            yield row, _Chunk(row, unknown)
+            yield row, _Chunk(row, unknown, known)
 
 
 def _with_words(chunks: DataFrame, models: Models) -> DataFrame:
@@ -267,19 +292,14 @@ def _with_words(chunks: DataFrame, models: Models) -> DataFrame:
 
 def _pair_counts(chunks: DataFrame, models: Models, ranges: int, worded: DataFrame | None = None) -> DataFrame:
     """One row for each chunk and range of keys: the chunk's distinct pairs and how often it counts them."""
-    unknown, bits = models.unknown, max(1, math.ceil(math.log2(ranges)))
+    unknown, known, width = models.unknown, models.size, 2 * max(1, models.size.bit_length())
+    bits = min(width, max(1, math.ceil(math.log2(ranges))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        for row, chunk in _chunks(batches, unknown):
-            size = len(chunk.keys)
-            if row["chunk"].as_py() < _OTHER:
-                n = np.bincount(chunk.place, minlength=size)
-                mine = np.repeat(chunk.targets, chunk.lengths)[chunk.at]
-                n_target = np.bincount(chunk.place[mine], minlength=size)
-            else:
-                n = n_target = np.zeros(size, dtype=np.int64)
-            cuts = [0, *np.searchsorted(chunk.keys, edges).tolist(), size]
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
+        for row, chunk in _chunks(batches, unknown, known):
+            n, n_target = chunk.pairs()
+            cuts = [0, *np.searchsorted(chunk.keys, edges).tolist(), len(chunk.keys)]
             some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             steps = [np.diff(chunk.keys[a:b], prepend=np.uint64(0)).view(np.int64) for _, a, b in some]
             yield pa.RecordBatch.from_arrays(
@@ -299,19 +319,21 @@ def _pair_counts(chunks: DataFrame, models: Models, ranges: int, worded: DataFra
 
 
 def _pair_sums(counts: DataFrame) -> DataFrame:
-    """For the rows that ask: the sums of their pairs over all chunks, in the order of the pairs."""
+    """For the rows that ask: the sums of their pairs over all other chunks, in the order of the pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[dict]) -> pa.RecordBatch:
             keys = [np.cumsum(_unpacked(r["keys"]).view(np.uint64), dtype=np.uint64) for r in rows]
-            place, sums = _sums(np.concatenate(keys), *[np.concatenate([_unpacked(r[c]) for r in rows]) for c in ("n", "n_target")])
+            own = [np.concatenate([_unpacked(r[c]) for r in rows]) for c in ("n", "n_target")]
+            place, sums = _sums(np.concatenate(keys), *own)
+            rest = [total[place] - mine for total, mine in zip(sums, own)]
             ends = np.cumsum([len(k) for k in keys])
-            asked = [(r, place[e - len(k) : e]) for r, k, e in zip(rows, keys, ends) if r["asks"]]
+            asked = [(r, slice(e - len(k), e)) for r, k, e in zip(rows, keys, ends) if r["asks"]]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["chunk"] for r, _ in asked], pa.int64()),
                     pa.array([r["part"] for r, _ in asked], pa.int32()),
-                    *[pa.array([_packed(total[p]) for _, p in asked], pa.binary()) for total in sums],
+                    *[pa.array([_packed(x[p]) for _, p in asked], pa.binary()) for x in rest],
                 ],
                 names=["chunk", "part", "n", "n_target"],
             )
@@ -346,15 +368,19 @@ def _scored(chunks: DataFrame, models: Models, rest: DataFrame, own: list[DataFr
     unknown, total, size = models.unknown, models.total, models.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, chunk in _chunks(batches, unknown):
+        for row, chunk in _chunks(batches, unknown, size):
             answered = sorted(row["sums"].as_py() or [], key=lambda r: r["part"])
+            held = np.stack([np.ones(len(chunk.doc), dtype=bool), chunk.targets[chunk.doc]]) & chunk.of_corpus
+            own_words, own_pairs = chunk.own()
             losses = []
-            for c, name in enumerate(("n", "n_target")):
-                counts = chunk.counts[c][chunk.tokens]
-                p = (counts + ALPHA) / (total[c] + ALPHA * (size + 1))
+            for c, (name, mine) in enumerate(zip(("n", "n_target"), chunk.pairs())):
+                counts = chunk.counts[c][chunk.tokens] - own_words * held[c]
+                p = (counts + ALPHA) / (total[c] - chunk.lengths[chunk.doc] * held[c] + ALPHA * (size + 1))
                 if len(chunk.at):
+                    # the predecessor's count, without this document's
                     before = counts[chunk.at - 1]
-                    after = np.concatenate([_unpacked(r[name]) for r in answered])[chunk.place] / np.maximum(before, 1)
+                    pairs = (np.concatenate([_unpacked(r[name]) for r in answered]) + mine)[chunk.place]
+                    after = (pairs - own_pairs * held[c][chunk.at]) / np.maximum(before, 1)
                     p[chunk.at] = np.where(before > 0, PAIR_SHARE * after + (1 - PAIR_SHARE) * p[chunk.at], p[chunk.at])
                 losses.append(-np.log(p))
             ends = np.cumsum(chunk.lengths)
@@ -386,7 +412,11 @@ def scored(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
 
 
 def fitted_and_scored(corpus: DataFrame, text: str = "text", target: str = "target", size: int | None = None) -> DataFrame:
-    """``scored(corpus, fit(corpus))`` with one reading of the texts."""
+    """Fits both models on ``corpus`` and scores each of its rows by the models without that row; texts are read once.
+
+    The added columns are those of :func:`scored`.  An empty table gives an empty table; a repeated row is a document of
+    its own, so its copies stay in the models that score it.
+    """
     chunks = chunked(corpus, text, target)
     with batches_of(corpus.sparkSession, CHUNKS):
         return _scored(chunks.withColumn("asks", F.lit(True)), _fitted(chunks, size), _rest(corpus, text), [chunks])
