@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import batches_of, text_of, written
+from ordinalia.llm.common import batches_of, release, text_of, written
 
 #: Least count of a word of the shared vocabulary.
 LEAST = 3
@@ -64,12 +64,9 @@ def _release(spark: SparkSession, *tables: DataFrame) -> None:
 
     Shuffle files go with the driver's garbage, which is rarely collected by itself.
     """
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(*tables)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 class _Numbers(dict):

@@ -11,6 +11,10 @@ shared token (prefix filter), the first n - o + s hold s of them (extended prefi
   pairs of one colour suffice, and there are about as many pairs as tokens.  c and s belong to a size class; a
   document takes part in the classes that its possible partners can be in.
 
+A key row carries the size of its set and the place of its token in the order.  Two sets that share a token share at most
+the tokens behind it besides those before it, and of the tokens that they share the first one is a key too; so a key
+of few nodes is dropped before any pair exists if no two of them can reach the overlap, by size or by place.
+
 Documents with equal sets are one node (the digest of the set).  Nodes that share a key are verified on their whole
 sets.  Only connected components are wanted, so links need not be written out: the few nodes of a sparse key are
 compared as pairs; nodes that dense keys connect form a cluster, which is cut into blocks, and each pair of blocks is
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import batches_of, text_of, written
+from ordinalia.llm.common import batches_of, release, text_of, written
 from ordinalia.runtime import at_most, cut
 
 #: A token is frequent from this document frequency on; the list of frequent tokens has at most LISTED entries, so with
@@ -41,6 +45,8 @@ FREQUENT, LISTED, MAP_BITS = 32, 2_000_000, 27
 SENT = 2_000_000
 #: A key with more nodes than this is dense; nodes of a block; pairs of blocks and texts in an Arrow batch.
 DENSE, BLOCK, BATCH, TEXTS = 6, 384, 4, 2000
+#: Rows of one key that a task gathers before it hands them on; above DENSE whatever that is.
+HELD = 20_000
 WORDS_KEPT = 300_000
 SINGLE_UNDER = 8  # size classes below this index frequent tokens one by one
 
@@ -116,8 +122,8 @@ class Order:
         return alone, several[~frequent], often[np.lexsort((often, self.counts[at[frequent]]))]
 
 
-def keys_of(tokens: np.ndarray, order: Order, num: int, den: int) -> np.ndarray:
-    """Index keys of a set."""
+def keys_of(tokens: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and the place of each key's token in the order (0 for frequent tokens)."""
     size = len(tokens)
     least = int(least_overlap(size, num, den))
     prefix = size - least + 1
@@ -146,7 +152,9 @@ def keys_of(tokens: np.ndarray, order: Order, num: int, den: int) -> np.ndarray:
                 a, b = used[:-gap][same], used[gap:][same]
                 keys.append(_mix(_mix(np.minimum(a, b) ^ seed) + np.maximum(a, b)))
                 gap += 1
-    return np.unique(np.concatenate(keys))
+    keys, first = np.unique(np.concatenate(keys), return_index=True)
+    own = rare[: max(0, prefix - alone)]
+    return keys, np.where(first < len(own), alone + first, 0)
 
 
 def _rows(docs: DataFrame, text: str, make, schema: str) -> DataFrame:
@@ -243,8 +251,35 @@ def counted(docs: DataFrame, n: int, total: int, text: str = "text") -> Order:
     return Order(shift, repeated, join("listed", np.uint64), join("often", np.int64))
 
 
+def _linkable(rows: pa.RecordBatch, going: int | None, dense: int | None, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows of keys (all their rows are here, but for keys ``going`` and ``dense``) with a node that they may link to."""
+    if not rows.num_rows:
+        return
+    k = rows.column(0).to_numpy()
+    node = np.frombuffer(b"".join(rows.column(1).to_pylist()), dtype="<u8").reshape(-1, 2)
+    fresh = np.ones(len(k), dtype=bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (node[1:] != node[:-1]).any(axis=1)
+    at = np.flatnonzero(fresh)  # a node's rows from several tasks are one
+    k, size, place = k[at], *(rows.column(i).to_numpy()[at].astype(np.int64) for i in (2, 3))
+    starts = np.flatnonzero(np.diff(k, prepend=k[0] - 1 if k[0] > np.iinfo(np.int64).min else 0))
+    many = np.repeat(counts := np.diff([*starts, len(k)]), counts)
+    keep = many > DENSE
+    if going is not None:
+        keep |= k == going
+    if dense is not None:
+        keep |= k == dense
+    for gap in range(1, DENSE):
+        a = np.flatnonzero((k[gap:] == k[:-gap]) & (many[gap:] <= DENSE))
+        b = a + gap
+        least = np.minimum(size[a] - place[a], size[b] - place[b])
+        near = (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])) & ((num + den) * least >= num * (size[a] + size[b]))
+        keep[a[near]] = keep[b[near]] = True
+    if keep.any():
+        yield rows.take(pa.array(at[keep]))
+
+
 def shared_keys(docs: DataFrame, n: int, order: Order, num: int, den: int, text: str = "text") -> DataFrame:
-    """``k``, ``node``, ``size`` for every index key that at least two nodes have."""
+    """``k``, ``node``, ``size``, ``place`` for every index key that two nodes have which may link by size and place."""
     sent = docs.sparkSession.sparkContext.broadcast(order.__dict__)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +287,17 @@ def shared_keys(docs: DataFrame, n: int, order: Order, num: int, den: int, text:
 
         words, own, seen = _Words(), Order(**sent.value), set()
         for batch in batches:
-            made, digests, sizes = [], [], []
+            made, places, digests, sizes = [], [], [], []
             for value in batch.column(0).to_pylist():
                 tokens = tokens_of(value, n, words)
-                keys = keys_of(tokens, own, num, den) if len(tokens) else tokens
+                keys, place = keys_of(tokens, own, num, den) if len(tokens) else (tokens, tokens)
                 if not len(keys):
                     continue
                 node = xxhash.xxh3_128_digest(tokens)
                 if node not in seen:  # copies within a task are indexed once
                     seen.add(node)
                     made.append(keys)
+                    places.append(place)
                     digests.append(node)
                     sizes.append(len(tokens))
             if made:
@@ -271,37 +307,29 @@ def shared_keys(docs: DataFrame, n: int, order: Order, num: int, den: int, text:
                         pa.array(np.concatenate(made).view(np.int64)),
                         pa.array(digests, pa.binary()).take(pa.array(doc)),
                         pa.array(np.array(sizes, dtype=np.int32)[doc]),
+                        pa.array(np.concatenate(places).astype(np.int32)),
                     ],
-                    names=["k", "node", "size"],
+                    names=["k", "node", "size", "place"],
                 )
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of keys with two or more nodes; rows come sorted by (k, node), a run may go over batches."""
-        last, waiting, met = None, None, None
+        """Rows of keys with two nodes that may link; rows come sorted by (k, node), a key may go over batches."""
+        held, going = None, None  # rows of the last key; a key of which rows were given out already
         for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
             k = batch.column(0).to_numpy()
-            node = batch.column(1).to_pylist()
-            kept: list[int] = []
-            first = None  # a run's first row in this batch that still waits for a second node
-            out = []
-            for i, (key, digest) in enumerate(zip(k.tolist(), node)):
-                if key != last:
-                    last, met, waiting, first = key, digest, None, i
-                elif digest != met:
-                    if waiting is not None:
-                        out.append(waiting)
-                        waiting = None
-                    elif first is not None:
-                        kept.append(first)
-                    first = None
-                    met = digest
-                    kept.append(i)
-            if first is not None:
-                waiting = batch.slice(first, 1)
-            out.append(batch.take(pa.array(kept, pa.int64())))
-            yield from (b for b in out if b.num_rows)
-
-    schema = "k bigint, node binary, size int"
+            at = int(np.searchsorted(k, k[-1])) if len(k) else 0
+            if len(k) - at > HELD:  # a dense key is kept whatever follows
+                yield from _linkable(batch, going, int(k[-1]), num, den)
+                held, going = None, int(k[-1])
+            else:
+                yield from _linkable(batch.slice(0, at), going, None, num, den)
+                held = batch.slice(at)
+        if held is not None:
+            yield from _linkable(held, going, None, num, den)
+
+    schema = "k bigint, node binary, size int, place int"
     keyed = _rows(docs, text, index, schema).repartition("k").sortWithinPartitions("k", "node")
     return keyed.mapInArrow(several, schema)
 
@@ -472,9 +500,15 @@ def components(docs: DataFrame, known: DataFrame, n: int, num: int, den: int, to
     sets = written(sets_of(docs, n, written(known.join(labels, "node").select("digest")), text))
     keys = written(shared.groupBy("k").agg(F.countDistinct("node").alias("m"), F.min("node").alias("first")))
 
-    few = shared.join(keys.where(F.col("m") <= DENSE).select("k"), "k").select("k", F.col("node").alias("a"), F.col("size").alias("s")).distinct()
-    other = few.select("k", F.col("a").alias("b"), F.col("s").alias("t"))
-    pairs = few.join(other, "k").where((F.col("a") < F.col("b")) & (den * F.least("s", "t") >= num * F.greatest("s", "t")))
+    few = shared.join(keys.where(F.col("m") <= DENSE).select("k"), "k").select(
+        "k", F.col("node").alias("a"), F.col("size").alias("s"), (F.col("size") - F.col("place")).alias("left_a")
+    )
+    other = few.select("k", F.col("a").alias("b"), F.col("s").alias("t"), F.col("left_a").alias("left_b"))
+    pairs = few.join(other, "k").where(
+        (F.col("a") < F.col("b"))
+        & (den * F.least("s", "t") >= num * F.greatest("s", "t"))
+        & ((num + den) * F.least("left_a", "left_b") >= num * (F.col("s") + F.col("t")))
+    )
     links = written(verified(pairs.select("a", "b").distinct(), sets, num, den))
 
     many = shared.join(keys.where(F.col("m") > DENSE).select("k", "first"), "k")
@@ -483,6 +517,7 @@ def components(docs: DataFrame, known: DataFrame, n: int, num: int, den: int, to
         ends = spokes.select("a").unionAll(spokes.select("b")).distinct()
         clusters = merged(spokes, ends.select(F.col("a").alias("node"), F.col("a").alias("comp")))
         links = links.unionAll(within(clusters.withColumnRenamed("comp", "cluster"), sets, num, den))
+    release(shared, keys, sets)
     return merged(links, labels)
 
 

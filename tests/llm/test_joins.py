@@ -75,7 +75,7 @@ def test_index_keys_meet_for_every_similar_pair():
         both = len(set(x) & y)
         if 100 * both >= num * (len(x) + len(y) - both):
             met += 1
-            a, b = (ngram_join.keys_of(np.array(sorted(s), dtype=np.uint64), order, num, 100) for s in (x, y))
+            a, b = (ngram_join.keys_of(np.array(sorted(s), dtype=np.uint64), order, num, 100)[0] for s in (x, y))
             assert len(np.intersect1d(a, b))
     assert met > 300
 
@@ -215,7 +215,7 @@ def test_pairs_of_few_shared_frequent_tokens_have_a_common_key(num, shared):
         order = ngram_join.Order(20, full, often, np.arange(len(often)) % 3)
         x, y = tokens[:8], tokens[8 - shared : 16 - shared]
         assert 100 * shared >= num * (16 - shared)
-        a, b = (ngram_join.keys_of(np.array(sorted(s), dtype=np.uint64), order, num, 100) for s in (x, y))
+        a, b = (ngram_join.keys_of(np.array(sorted(s), dtype=np.uint64), order, num, 100)[0] for s in (x, y))
         assert len(np.intersect1d(a, b))
 
 
