@@ -126,8 +126,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 GAP = 2
 #: A sentence ends at a line break, or at . ! ? ; : before white space or the end; comment marks may begin a line.
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?;:]+(?=\s|$)|(?=\n)|$)")
-#: Texts without any of these words hold no known sentence.
-HINT = r"(?i)licen[cs]e|permission|redistribut|warrant|free software|waived|mit licen"
 
 
 def normalised(sentence: str) -> str:
@@ -139,6 +137,20 @@ KNOWN = {normalised(s): name for name, wordings in SENTENCES.items() for s in wo
 _LONGEST = max(len(k) for k in KNOWN)
 
 
+def _telling(sentences: list[str]) -> list[str]:
+    """A few single words of which each sentence has one: the word in most of the sentences left, the longest of those."""
+    left, out = [set(s.split()) for s in sentences], []
+    while left:
+        words = sorted({w for s in left for w in s if len(w) >= min(6, max(map(len, s)))})
+        out.append(max(words, key=lambda w: (sum(w in s for s in left), len(w))))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
+#: A text without any of these words holds no known sentence, however its lines are broken.
+HINT = "(?iu)" + "|".join(_telling(sorted(KNOWN)))
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """Start, end (code points) and normalised form of each sentence with a letter or digit.
 

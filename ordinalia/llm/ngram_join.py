@@ -44,7 +44,9 @@ FREQUENT, LISTED, MAP_BITS = 32, 2_000_000, 27
 #: Largest list of node digests (16 bytes each) that is sent to the tasks that look for their sets.
 SENT = 2_000_000
 #: A key with more nodes than this is dense; nodes of a block; pairs of blocks and texts in an Arrow batch.
-DENSE, BLOCK, BATCH, TEXTS = 6, 384, 4, 2000
+DENSE, BLOCK, BATCH, TEXTS = 6, 1536, 4, 2000
+#: Bytes of the sets of a block, on average.
+BLOCK_BYTES = 4 << 20
 #: Rows of one key that a task gathers before it hands them on; above DENSE whatever that is.
 HELD = 20_000
 WORDS_KEPT = 300_000
@@ -459,7 +461,8 @@ def within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     level = F.floor(F.ln(size) / (math.log(den / num) * 1.000001)) if num < den else size.cast("bigint")
     keys = ["cluster", "level"]
     members = written(clusters.join(sets, "node").withColumn("level", level))
-    counts = members.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows, held = F.count(F.lit(1)) / BLOCK, F.sum(F.length("tokens").cast("bigint")) / BLOCK_BYTES
+    counts = members.groupBy(*keys).agg(F.ceil(F.greatest(rows, held)).alias("blocks"))
     blocks = written(
         members.join(counts, keys)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))

@@ -136,7 +136,12 @@ def _train(rows: list[np.ndarray], y: np.ndarray) -> Model:
         counts[sign] = c / c.sum()
     ratio = np.log(counts[1] / counts[-1])
     w, bias = descend(rows, y, ratio)
-    return Model(ratio, BLEND * w + (1 - BLEND) * np.abs(w).mean() * np.sign(ratio) * (np.abs(w) > 0), bias)
+    # the indicators are scaled by the ratios already, so the mean magnitude alone is naive Bayes
+    met = np.zeros(size, dtype=bool)
+    for places in rows:
+        met[places] = True
+    mean = np.abs(w[met]).mean() if met.any() else 0.0
+    return Model(ratio, BLEND * w + (1 - BLEND) * mean * met, bias)
 
 
 def fit(rows: list[np.ndarray], labels: list[int]) -> Model:

@@ -12,6 +12,7 @@ Everything is an expression over built-in functions.  Spans are code points, end
 
 from __future__ import annotations
 
+import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -88,9 +89,28 @@ def _spans(text: Column, pattern: str, kind: int, shortest: int = 0) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
+#: Fixed values of the published polynomial for the normal distribution function; levels of the continued fraction.
+_POLYNOMIAL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+LEVELS = 12
+
+
 def normal_cdf(z: Column) -> Column:
-    """Normal distribution function by its logistic approximation (error below 0.0002, increasing everywhere)."""
-    return 1 / (1 + F.exp(F.greatest(F.lit(-690.0), F.least(F.lit(690.0), -(1.5976 * z + 0.07056 * z * z * z)))))
+    """Normal distribution function; its lower tail has a small relative error, for that is what false discovery compares.
+
+    Below -2 the continued fraction of the Mills ratio (relative error under 0.001), above a polynomial (absolute error
+    under 1e-7).
+    """
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    ratio = x
+    for level in range(LEVELS, 0, -1):
+        ratio = x + level / ratio
+    t = 1 / (1 + 0.2316419 * x)
+    polynomial = F.lit(0.0)
+    for c in reversed(_POLYNOMIAL):
+        polynomial = (polynomial + c) * t
+    tail = F.when(x > 2, density / ratio).otherwise(density * polynomial)
+    return F.when(z < 0, tail).otherwise(1 - tail)
 
 
 def _alphabet(encoding: Column) -> Column:

@@ -34,8 +34,8 @@ _MIXED = re.compile(r"(?<![0-9@$])[0134578@$]{1,2}(?=[^\W\d_])")
 _AFTER = re.compile(r"(?<=[^\W\d_])[0134578@$]+")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
-#: Bounds of the sample: rows of each class, code points in all; entries kept; lengths of word starts.
-PER_CLASS, CODE_POINTS, ENTRIES, STARTS = 4000, 60_000_000, 20_000, (3, 4, 5, 6)
+#: Bounds of the sample: rows of each class, code points in all; lengths of word starts.
+PER_CLASS, CODE_POINTS, STARTS = 4000, 60_000_000, (3, 4, 5, 6)
 #: A word enters if the lower end of its log-odds (this many standard errors) is above the floor,
 #: and if so many toxic rows, and such a share of them, hold it.
 ERRORS, FLOOR, LEAST_ROWS, LEAST_SHARE = 2.0, 1.5, 4, 0.005
@@ -147,7 +147,7 @@ def learn_lexicon(rows: Iterable[tuple[str, int]]) -> Lexicon:
         stem = entry.rstrip("*")
         if any(entries.get(f"{stem[:n]}*", 0.0) >= entries[entry] for n in STARTS if n < len(stem)):
             del entries[entry]
-    entries = dict(sorted(entries.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+    entries = dict(sorted(entries.items(), key=lambda x: (-x[1], x[0])))
     exceptions = _exceptions(docs, entries)
     lexicon = Lexicon(entries, exceptions)
     matcher = lexicon.matcher()
@@ -217,7 +217,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """
     kept = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns and c != text])
     at = kept.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon.__dict__)  # at most ENTRIES entries and their exceptions
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon.__dict__)  # the sample bounds the entries and their exceptions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value

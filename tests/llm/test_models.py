@@ -47,6 +47,28 @@ def test_dual_coordinate_descent_reaches_the_optimum():
         assert primal(w + rng.normal(size=20) * 0.02, b + rng.normal() * 0.02) >= best - 1e-3
 
 
+def test_naive_bayes_blend_agrees_with_a_dense_version(monkeypatch):
+    """Interpolation of the trained weights with their mean magnitude, on indicators scaled by log-count ratios."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(50, 8, replace=False)) for _ in range(80)]
+    y = np.where([(r < 20).sum() > 3 for r in rows], 1, -1)
+    model = quality._train(rows, y)
+    dense = np.zeros((80, 50))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    size = 1 << quality.BITS
+    up, down = quality.ALPHA + dense[y > 0].sum(axis=0), quality.ALPHA + dense[y < 0].sum(axis=0)
+    ratio = np.log(up / (up.sum() + quality.ALPHA * (size - 50))) - np.log(down / (down.sum() + quality.ALPHA * (size - 50)))
+    assert np.allclose(ratio, model.scale[:50])
+    w, bias = quality.descend(rows, y, model.scale)
+    mixed = (1 - quality.BLEND) * np.abs(w[:50]).mean() + quality.BLEND * w[:50]
+    for i, r in enumerate(rows):
+        f = dense[i] * ratio
+        assert model.margin(r) == pytest.approx(f @ mixed / np.sqrt(f @ f) + bias)
+    bayes = np.array([dense[i] @ ratio for i in range(80)])  # the part that the blend adds points to the class
+    assert bayes[y > 0].mean() > 0 > bayes[y < 0].mean() and (1 - quality.BLEND) * np.abs(w[:50]).mean() > 0
+
+
 def test_quality_on_held_out_rows(spark):
     rows = labelled(600, 1)
     docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t, _ in rows], "doc_id bigint, text string, score double, label string")
