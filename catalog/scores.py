@@ -344,13 +344,21 @@ def held_out_thresholds(spark, sf):
 )
 def leave_one_out_thresholds(spark, sf):
     """Thresholds of the calibration set that leaves one NULL report out, for every report."""
-    null = _null(spark, sf)
-    sets = S.leave_one_out_sets(null.where(F.col("method_id").isNotNull()))
-    found = S.method_thresholds(sets).withColumn("excluded", F.split("calibration_id", "#without#")[1])
-    # only methods that the excluded report has itself are asked for
-    return found.join(
-        null.select(F.col("report_id").alias("excluded"), "method_id"), ["excluded", "method_id"], "left_semi"
-    ).select("excluded", "method_id", r6("threshold").alias("threshold"))
+    return S.leave_one_out_thresholds(_null(spark, sf)).select("excluded", "method_id", r6("threshold").alias("threshold"))
+
+
+@register(
+    "leave_one_out_deltas",
+    L.query(
+        _CAL,
+        f"""SELECT report_id AS excluded, {L.r6('greatest(0.02, coalesce(d, 0.0))')} AS delta_hybrid FROM (SELECT a.report_id,
+        (SELECT list_sort(list(b.gain))[ceil(0.9::double * (count(*) - 1))::int + 1] FROM gains b
+         WHERE b.gain IS NOT NULL AND b.report_id <> a.report_id) AS d FROM gains a)""",
+    ),
+)
+def leave_one_out_deltas(spark, sf):
+    """Least hybrid gain of the calibration set that leaves one NULL report out, for every report."""
+    return S.leave_one_out_deltas(_null(spark, sf)).select("excluded", r6("delta_hybrid").alias("delta_hybrid"))
 
 
 _ELIG = _CAL + [

@@ -87,3 +87,30 @@ def test_all_violations_are_reported_together():
         AuditConfig(k=1, feature_budget=2, relation_budget=0, resamples=1, seed=0, alphas=(0.5, 1.0), margin=math.nan, perturbation_level="huge")
     assert all(name in str(caught.value) for name in ("k=1", "relation_budget=0", "alphas=1.0", "margin=nan", "perturbation_level"))
     AuditConfig(k=2, feature_budget=2, relation_budget=1, resamples=1, seed=0, margin=1.0)
+
+
+def test_leave_one_out_agrees_with_whole_sets(spark):
+    """Thresholds and deltas from order statistics equal those of sets that really leave a report out."""
+    import random
+
+    from ordinalia.operators import select as S
+
+    rng = random.Random(2)
+    rows = []
+    for report in range(9):
+        for method, family in (("a", "VALUE"), ("b", "RELATIONAL"), ("h", "HYBRID"), ("i", "HYBRID")):
+            if family != "HYBRID" or report not in (3, 4):  # some reports have no gain
+                rows.append(("c", f"r{report}", 2, method, family, round(rng.random(), 1), rng.random() < 0.7))
+    rows += [("d", "x", 2, "a", "VALUE", 0.5, True), ("d", "x", 2, "h", "HYBRID", 0.9, True)]  # a set of one report
+    null = spark.createDataFrame(
+        rows, "calibration_id string, report_id string, k int, method_id string, family string, q_score double, nondegenerate boolean"
+    )
+    for quantile in (0.5, 0.9):
+        thresholds = {(r["calibration_id"], r["excluded"], r["method_id"]): r["threshold"] for r in S.leave_one_out_thresholds(null, quantile).collect()}
+        deltas = {(r["calibration_id"], r["excluded"]): r["delta_hybrid"] for r in S.leave_one_out_deltas(null, quantile).collect()}
+        assert len(deltas) == 10 and deltas["d", "x"] == 0.02
+        for out in (f"r{i}" for i in range(9)):
+            rest = null.where((F.col("calibration_id") == "c") & (F.col("report_id") != out))
+            wanted = {r["method_id"]: r["threshold"] for r in S.method_thresholds(rest, quantile).collect()}
+            assert {m: t for (c, o, m), t in thresholds.items() if c == "c" and o == out}.items() <= wanted.items()
+            assert deltas["c", out] == S.hybrid_delta(rest, quantile).first()["delta_hybrid"]
