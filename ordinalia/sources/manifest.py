@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +39,30 @@ def read_manifest(spark: SparkSession, path: str, schema_tag: str) -> DataFrame:
     return raw.select(F.explode(checked).alias("dataset_id", "e")).select("dataset_id", "e.*")
 
 
-#: Larger files are not hashed (their content does not fit one binary cell) and are reported as unverified.
-HASHED_BYTES = 1 << 30
+#: Larger files do not go through one binary cell: a task reads them in parts of PART_BYTES.
+HASHED_BYTES, PART_BYTES = 1 << 28, 8 << 20
+
+
+def _streamed(files: DataFrame) -> DataFrame:
+    """``path, sha256`` of files that are read part by part, one file at a time in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            digests = []
+            for path in paths:
+                local = path.startswith("file:")
+                store, name = (fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if local else fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as file:
+                    while part := file.read(PART_BYTES):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(digests, pa.string())], names=["path", "sha256"])
+
+    return files.select("path").mapInArrow(run, "path string, sha256 string")
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +73,11 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
     )
     sizes = files.select("path", F.col("length").alias("size_bytes"))
-    hashes = files.where(F.col("length") <= HASHED_BYTES).select(
+    small = files.where(F.col("length") <= HASHED_BYTES).select(
         "path", F.sha2("content", 256).alias("sha256")
     )
-    return sizes.join(hashes, "path", "left")
+    large = files.where(F.col("length") > HASHED_BYTES).select("path").repartition("path")
+    return sizes.join(small.unionAll(_streamed(large)), "path", "left")
 
 
 def file_problems(manifest: DataFrame, files: DataFrame, root: str) -> DataFrame:

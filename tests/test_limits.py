@@ -31,16 +31,21 @@ def test_wide_vectors_come_back_in_order(spark):
     assert measurements_to_vectors(long).first()["vector"] == vector
 
 
-def test_large_files_are_reported_as_unverified(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.csv").write_text("x" * 20)
+def test_large_files_are_verified_in_parts(spark, tmp_path, monkeypatch):
+    for name in ("a.csv", "c d.csv"):
+        (tmp_path / name).write_text("x" * 20)
     (tmp_path / "b.csv").write_text("y")
     monkeypatch.setattr(manifest, "HASHED_BYTES", 10)
+    monkeypatch.setattr(manifest, "PART_BYTES", 7)
     digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
     entries = spark.createDataFrame(
-        [("a", "a.csv", 20, digest("x" * 20)), ("b", "b.csv", 1, digest("y"))], "dataset_id string, x_path string, x_size_bytes long, x_sha256 string"
+        [("a", "a.csv", 20, digest("x" * 20)), ("b", "b.csv", 1, digest("y")), ("c", "c d.csv", 20, digest("z" * 20))],
+        "dataset_id string, x_path string, x_size_bytes long, x_sha256 string",
     )
-    found = manifest.file_problems(entries, manifest.scan_files(spark, str(tmp_path)), str(tmp_path)).collect()
-    assert [(r["dataset_id"], r["problem"]) for r in found] == [("a", "unverified")]
+    files = manifest.scan_files(spark, str(tmp_path))
+    assert files.where("sha256 IS NULL").isEmpty()
+    found = manifest.file_problems(entries, files, str(tmp_path)).collect()
+    assert [(r["dataset_id"], r["problem"]) for r in found] == [("c", "checksum")]
 
 
 def test_nulls_have_no_rank_in_groups_of_any_size(spark):
