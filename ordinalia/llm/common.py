@@ -44,6 +44,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def without(docs: DataFrame, text: str, *names: str) -> DataFrame:
+    """``docs`` without the columns of these names, in upper or lower case, but with its text."""
+    taken = {n.lower() for n in names}
+    return docs.drop(*[c for c in docs.columns if c.lower() in taken and c != text])
+
+
+def shielded(docs: DataFrame, text: str, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """:func:`without` those names, and with names that no operator uses instead of those of the other columns.
+
+    Also the users' names by those that stand for them, in order; the text stands for itself.
+    """
+    rest = without(docs, text, *names)
+    back = {c if c == text else f"_c{i}": c for i, c in enumerate(rest.columns)}
+    return rest.select(*[F.col(f"`{c}`").alias(n) for n, c in back.items()]), back
+
+
+def restored(rows: DataFrame, back: dict[str, str]) -> DataFrame:
+    """``rows`` with the users' names again; columns that ``back`` does not know stay behind them."""
+    first = [F.col(n).alias(c) for n, c in back.items() if n in rows.columns]
+    return rows.select(*first, *[c for c in rows.columns if c not in back])
+
+
 def release(*tables: DataFrame) -> None:
     """Gives back the disk of :func:`written` tables that no later step reads."""
     for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import text_of
+from ordinalia.llm.common import text_of, without
 
 #: Sentences of public licence texts and notices (fixed values); an identifier may stand for several wordings.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -212,7 +212,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     columns stay; columns of these names are replaced.
     """
     kind = "array<struct<licence:string,start:int,end:int>>"
-    rest = docs.drop(*[c for c in ("sentence_ids", "licences") if c in docs.columns and c != text])
+    rest = without(docs, text, "sentence_ids", "licences")
     rest = rest.withColumn(text, F.when(text_of(text).rlike(HINT), F.col(text)))  # other texts need not reach Python
     at = rest.columns.index(text)
     shape = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import kept
+from ordinalia.llm.common import kept, without
 
 MARK = "▁"
 #: Segments kept per worker process.
@@ -271,7 +271,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _mapped(docs: DataFrame, path: str, text: str, row, added: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
-    rest = docs.drop(*[c for c in added if c in docs.columns and c != text])
+    rest = without(docs, text, *added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import text_of
+from ordinalia.llm.common import text_of, without
 from ordinalia.llm.labelled import sample
 
 BITS = 18
@@ -195,7 +195,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null or empty text scores as a text without words.  Rows and other columns stay, columns of these names are
     replaced.
     """
-    kept = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns and c != text])
+    kept = without(docs, text, "score", "predicted")
     at = kept.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model.__dict__)  # 2 ** BITS doubles twice
 

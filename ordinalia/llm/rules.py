@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinalia.llm.common import WORD_BREAK, text_of
+from ordinalia.llm.common import WORD_BREAK, restored, shielded, text_of
 from ordinalia.runtime import cut
 
 GOOD, BAD, ABSTAIN = 1, 2, 0
@@ -179,11 +179,12 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated 3-word windows.  A failed
     base is final; every other document is kept if its posterior is at least 0.5.  Null and empty texts fail
-    the base; repeated rows stay repeated; an empty table gives an empty table; other columns stay.
+    the base; repeated rows stay repeated; an empty table gives an empty table; other columns stay but those of the added names,
+    in any case, which are replaced.
     """
     names = [f"vote_{name}" for name in RULES]
-    clash = [c for c in docs.columns if c in (*COUNTS, *names, "p_good", "base_failed", "kept", "_t", "_w", "_l", "_s", "share")]
-    voted = cut(votes(counts(docs.drop(*[c for c in clash if c != text]), text).drop(text)))
+    rows, back = shielded(docs, text, *COUNTS, *names, "p_good", "base_failed", "kept")
+    voted = cut(restored(votes(counts(rows, text)).drop(text), back))
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().orderBy(*names).collect()]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (

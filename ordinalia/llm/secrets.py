@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ordinalia.llm.common import text_of, written
+from ordinalia.llm.common import restored, shielded, text_of, written
 from ordinalia.runtime import checked_broadcast, cut
 
 KINDS = ("assign", "access", "hex", "random")
@@ -213,7 +213,7 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR, with_text: bool
     The text column is dropped unless ``with_text`` is set, other columns stay.  ``spans`` holds the base spans and the random tokens that touch
     no base span.  A null or empty text has no spans; repeated rows stay repeated.
     """
-    docs = docs.drop(*[c for c in ("base", "spans", "_t", "_tokens", "_row") if c in docs.columns and c != text])
+    docs, back = shielded(docs, text, "base", "spans")
     t = F.col("_t")
     base = F.sort_array(F.concat(_spans(t, ASSIGN, 0, ASSIGN_LENGTH), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
     found = (
@@ -256,12 +256,13 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR, with_text: bool
         .agg(F.collect_list(F.struct("start", "kind", "end")).alias("_added"))
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return (
+    out = (
         found.drop("_tokens")
         .join(checked_broadcast(cut(added)), "_row", "left")
         .withColumn("spans", F.sort_array(F.concat("base", F.coalesce("_added", none))))
         .drop("_row", "_added")
     )
+    return restored(out, back)
 
 
 def joined(spans: Column) -> Column:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordinalia.llm.common import without
 from ordinalia.llm.labelled import sample
 
 #: Look-alikes of Latin letters in other scripts, and digits and marks that stand for letters (fixed values).
@@ -215,7 +216,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
 
     A null or empty text has no hits.  Rows and other columns stay, columns of these names are replaced.
     """
-    kept = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns and c != text])
+    kept = without(docs, text, "score", "predicted")
     at = kept.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon.__dict__)  # the sample bounds the entries and their exceptions
 
