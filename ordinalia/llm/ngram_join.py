@@ -17,10 +17,11 @@ of few nodes is dropped before any pair exists if no two of them can reach the o
 
 Documents with equal sets are one node (the digest of the set).  Nodes that share a key are verified on their whole
 sets.  Only connected components are wanted, so links need not be written out: the few nodes of a sparse key are
-compared as pairs; nodes that dense keys connect form a cluster, which is cut into blocks, and each pair of blocks is
-compared within a task, which returns a spanning forest of the links that it finds.  A large group of near
-copies is thus spread over its pairs of blocks and never multiplied out into rows.  Everything is exact but for 64-bit
-token hashes.
+compared as pairs; nodes that dense keys connect form a cluster, which is cut into blocks, and each block is compared
+with the others in cells of at most STRIP blocks, which return a spanning forest of the links that they find.  A large
+group of near copies is thus spread over its cells and never multiplied out into rows.  Which set goes to which cell is
+decided on narrow rows (node and size); the sets are shuffled twice, once to their nodes and once to their cells, where
+the set or block that meets the others is held and these stream past.  Everything is exact but for 64-bit token hashes.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ from ordinalia.runtime import at_most, cut
 FREQUENT, LISTED, MAP_BITS = 32, 2_000_000, 27
 #: Largest list of node digests (16 bytes each) that is sent to the tasks that look for their sets.
 SENT = 2_000_000
-#: A key with more nodes than this is dense; nodes of a block; pairs of blocks and texts in an Arrow batch.
-DENSE, BLOCK, BATCH, TEXTS = 6, 1536, 4, 2000
+#: A key with more nodes than this is dense; nodes of a block; blocks that one cell meets; sets and texts in an Arrow batch.
+DENSE, BLOCK, STRIP, BATCH, TEXTS = 6, 1536, 8, 128, 2000
 #: Bytes of the sets of a block, on average.
 BLOCK_BYTES = 4 << 20
 #: Rows of one key that a task gathers before it hands them on; above DENSE whatever that is.
@@ -336,11 +337,14 @@ def shared_keys(docs: DataFrame, n: int, order: Order, num: int, den: int, text:
     return keyed.mapInArrow(several, schema)
 
 
-def sets_of(docs: DataFrame, n: int, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """``node`` and ``tokens`` (little-endian 64-bit hashes), one row for each wanted ``digest`` of a text."""
+def sets_of(docs: DataFrame, n: int, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``node`` and ``tokens`` (little-endian 64-bit hashes), one row for each wanted ``digest`` of a text.
+
+    ``wanted``: the digest, the node of its text and ``source``, the hash of a key that has it; a node is wanted once.
+    """
     spark = docs.sparkSession
     few = at_most(wanted, SENT)
-    sent = spark.sparkContext.broadcast({bytes(r["digest"]) for r in wanted.toLocalIterator()}) if few else None
+    sent = spark.sparkContext.broadcast({bytes(r["digest"]): r["source"] for r in wanted.toLocalIterator()}) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -348,9 +352,9 @@ def sets_of(docs: DataFrame, n: int, wanted: DataFrame, text: str = "text") -> D
         words, seen, asked = _Words(), set(), sent.value if sent else None
         for batch in batches:
             texts, nodes_, sets = [], [], []
-            for value in batch.column(0).to_pylist():
+            for source, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 digest = xxhash.xxh3_128_digest(value)
-                if digest in seen or (asked is not None and digest not in asked):
+                if digest in seen or (asked is not None and asked.get(digest) != source):
                     continue
                 seen.add(digest)
                 tokens = tokens_of(value, n, words)
@@ -360,30 +364,11 @@ def sets_of(docs: DataFrame, n: int, wanted: DataFrame, text: str = "text") -> D
                     sets.append(tokens.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (texts, nodes_, sets)], names=["digest", "node", "tokens"])
 
-    found = _rows(docs, text, run, "digest binary, node binary, tokens binary")
+    whole = docs.select(F.xxhash64(key).alias("source"), text_of(text).cast("binary").alias("text"))
+    found = whole.mapInArrow(run, "digest binary, node binary, tokens binary")
     if not few:
         found = found.join(wanted.select("digest"), "digest", "left_semi")
-    return found.dropDuplicates(["digest"]).select("node", "tokens")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if den * both >= num * (len(x) + len(y) - both):
-                    kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return found.dropDuplicates(["node"]).select("node", "tokens")
 
 
 def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -451,56 +436,111 @@ def compared(first: list[tuple[bytes, np.ndarray]], second: list[tuple[bytes, np
     return out
 
 
-def within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within clusters (node, cluster), by pairs of blocks; a spanning forest for each pair.
+#: What a set is in a cell: of the block that is compared with itself and the others, with the others only, of the others.
+_OWN, _ANCHOR, _OTHER = 0, 1, 2
+_CELLS = "array<struct<level bigint, block bigint, strip bigint, role int>>"
+
+
+def pair_cells(pairs: DataFrame) -> DataFrame:
+    """``cell``, ``role``, ``node``: a node ``a`` of the pairs (a, b) meets all its ``b`` in a cell of its own."""
+    own = pairs.select(F.col("a").alias("cell"), F.lit(_ANCHOR).alias("role"), F.col("a").alias("node")).distinct()
+    return own.unionAll(pairs.select(F.col("a").alias("cell"), F.lit(_OTHER).alias("role"), F.col("b").alias("node")))
+
+
+def cluster_cells(clusters: DataFrame, num: int, den: int) -> DataFrame:
+    """``cell``, ``role``, ``node`` for ``clusters`` (node, size, cluster), such that all that may link meet in a cell.
 
     Sizes of linked sets differ by den / num at most, so a block holds sets of one level of sizes, and levels are as
-    wide as that: only blocks of one level or of neighbouring levels meet.
+    wide as that: a block meets itself, the later blocks of its level and all blocks of the next level.  These are
+    dealt to cells of STRIP blocks, each with a copy of the block that they meet.
     """
-    size = F.length("tokens") / 8
-    level = F.floor(F.ln(size) / (math.log(den / num) * 1.000001)) if num < den else size.cast("bigint")
-    keys = ["cluster", "level"]
-    members = written(clusters.join(sets, "node").withColumn("level", level))
-    rows, held = F.count(F.lit(1)) / BLOCK, F.sum(F.length("tokens").cast("bigint")) / BLOCK_BYTES
-    counts = members.groupBy(*keys).agg(F.ceil(F.greatest(rows, held)).alias("blocks"))
-    blocks = written(
-        members.join(counts, keys)
+    level = F.floor(F.ln("size") / (math.log(den / num) * 1.000001)) if num < den else F.col("size").cast("bigint")
+    placed = clusters.withColumn("level", level)
+    rows, held = F.count(F.lit(1)) / BLOCK, F.sum(F.col("size").cast("bigint") * 8) / BLOCK_BYTES
+    levels = placed.groupBy("cluster", "level").agg(
+        F.count(F.lit(1)).alias("members"), F.ceil(F.greatest(rows, held)).cast("bigint").alias("blocks")
+    )
+    levels = written(levels)
+    beside = lambda step, name: levels.select("cluster", (F.col("level") + step).alias("level"), F.col("blocks").alias(name))
+    around = levels.join(beside(1, "before"), ["cluster", "level"], "left").join(beside(-1, "after"), ["cluster", "level"], "left")
+    around = around.fillna(0, ["before", "after"])
+    met = f"""concat(
+        if(members > 1 OR after > 0, transform(
+            sequence(0L, greatest(1L, ceil((blocks - block - 1 + after) / {STRIP})) - 1),
+            s -> struct(level, block, s AS strip, if(s = 0, {_OWN}, {_ANCHOR}) AS role)), CAST(array() AS {_CELLS})),
+        if(block > 0, transform(sequence(0L, block - 1),
+            i -> struct(level, i AS block, (block - i - 1) div {STRIP} AS strip, {_OTHER} AS role)), CAST(array() AS {_CELLS})),
+        if(before > 0, transform(sequence(0L, before - 1),
+            i -> struct(level - 1 AS level, i AS block, (before - i - 1 + block) div {STRIP} AS strip, {_OTHER} AS role)), CAST(array() AS {_CELLS})))"""
+    return (
+        placed.join(around, ["cluster", "level"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .groupBy(*keys, "block")
-        .agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
+        .select("node", "cluster", F.explode(F.expr(met)).alias("at"))
+        .select(
+            F.concat("cluster", F.concat_ws(":", "at.level", "at.block", "at.strip").cast("binary")).alias("cell"),
+            F.col("at.role").alias("role"),
+            "node",
+        )
     )
-    both = F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("meet")
-    first = blocks.select("cluster", "level", "block", "members", both)
-    other = blocks.select("cluster", F.col("level").alias("meet"), F.col("block").alias("block2"), F.col("members").alias("members2"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(column: pa.Array, i: int) -> list[tuple[bytes, np.ndarray]]:
-            values = column[i].values
-            nodes_, tokens = values.field("node").to_pylist(), values.field("tokens")
-            return [(node, np.frombuffer(t.as_buffer(), dtype="<u8")) for node, t in zip(nodes_, tokens)]
 
-        for batch in batches:
-            links = [x for i in range(batch.num_rows) for x in compared(block(batch.column(0), i), block(batch.column(1), i), num, den)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], names=["a", "b"]
-            )
+def links_of(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between sets that meet in a cell, as spanning forests; a cell holds one block, the others stream past."""
+    bytes_held, many = BLOCK_BYTES, 20_000
 
-    met = first.join(other, ["cluster", "meet"]).where("meet > level OR block <= block2").select("members", "members2")
-    with batches_of(clusters.sparkSession, BATCH):
-        return written(met.repartition(F.xxhash64("members"), F.xxhash64("members2")).mapInArrow(run, "a binary, b binary"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, own, others, held, alone, links = None, [], [], 0, True, []
 
+        def meet() -> None:
+            if own and not alone:
+                links.extend(compared(own, own, num, den))
+            if own and others:
+                links.extend(compared(own, others, num, den))
 
-def components(docs: DataFrame, known: DataFrame, n: int, num: int, den: int, total: int, text: str = "text") -> DataFrame:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            ids, roles, names = (batch.column(i).to_pylist() for i in range(3))
+            for at, role, name, tokens in zip(ids, roles, names, batch.column(3)):
+                if at != cell:
+                    meet()
+                    cell, own, others, held, alone = at, [], [], 0, True
+                found = (name, np.frombuffer(tokens.as_buffer(), dtype="<u8"))
+                if role != _OTHER:
+                    own.append(found)
+                    alone = alone and role != _OWN
+                    continue
+                others.append(found)
+                held += found[1].nbytes
+                if held > bytes_held:
+                    meet()
+                    others, held, alone = [], 0, True
+            if len(links) > many:
+                yield out()
+                links.clear()
+        meet()
+        yield out()
+
+    dealt = cells.join(sets, "node").select("cell", "role", "node", "tokens")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", "role")
+    with batches_of(cells.sparkSession, BATCH):
+        return written(dealt.mapInArrow(run, "a binary, b binary"))
+
+
+def components(
+    docs: DataFrame, known: DataFrame, n: int, num: int, den: int, total: int, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``node``, ``comp`` (a node) for the nodes that share an index key with another one.
 
-    ``known``: node and the digest of one text that has this set.
+    ``known``: node, and ``one``: the digest of one text that has this set, with the hash of a key that has that text.
     """
     order = counted(docs, n, total, text)
     shared = written(shared_keys(docs, n, order, num, den, text))
-    labels = written(shared.select("node").distinct().withColumn("comp", F.col("node")))
+    sizes = shared.groupBy("node").agg(F.first("size").alias("size"))
+    labels = written(sizes.withColumn("comp", F.col("node")))
     if labels.isEmpty():
-        return labels
-    sets = written(sets_of(docs, n, written(known.join(labels, "node").select("digest")), text))
+        return labels.select("node", "comp")
     keys = written(shared.groupBy("k").agg(F.countDistinct("node").alias("m"), F.min("node").alias("first")))
 
     few = shared.join(keys.where(F.col("m") <= DENSE).select("k"), "k").select(
@@ -512,16 +552,24 @@ def components(docs: DataFrame, known: DataFrame, n: int, num: int, den: int, to
         & (den * F.least("s", "t") >= num * F.greatest("s", "t"))
         & ((num + den) * F.least("left_a", "left_b") >= num * (F.col("s") + F.col("t")))
     )
-    links = written(verified(pairs.select("a", "b").distinct(), sets, num, den))
+    pairs = pairs.select("a", "b").distinct()
 
     many = shared.join(keys.where(F.col("m") > DENSE).select("k", "first"), "k")
     spokes = written(many.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
-    if not spokes.isEmpty():
+    if spokes.isEmpty():
+        cells = pair_cells(written(pairs))
+    else:
         ends = spokes.select("a").unionAll(spokes.select("b")).distinct()
         clusters = merged(spokes, ends.select(F.col("a").alias("node"), F.col("a").alias("comp")))
-        links = links.unionAll(within(clusters.withColumnRenamed("comp", "cluster"), sets, num, den))
-    release(shared, keys, sets)
-    return merged(links, labels)
+        of = lambda side: clusters.select(F.col("node").alias(side), F.col("comp").alias(f"of_{side}"))
+        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(of_a = of_b, false)")
+        placed = clusters.join(labels.select("node", "size"), "node").withColumnRenamed("comp", "cluster")
+        cells = pair_cells(written(apart.select("a", "b"))).unionAll(cluster_cells(placed, num, den))
+    cells = written(cells)
+    wanted = known.join(cells.select("node").distinct(), "node", "left_semi").select("node", "one.*")
+    links = links_of(cells, sets_of(docs, n, written(wanted), key, text), num, den)
+    release(shared, keys, cells)
+    return merged(links, labels.select("node", "comp"))
 
 
 def linked(
@@ -543,9 +591,11 @@ def linked(
 def _linked(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
     rows = cut(nodes(docs, n, key, text))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"), F.min("digest").alias("digest"))
+    known = rows.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("key").alias("least"), F.min(F.struct("digest", F.xxhash64("key").alias("source"))).alias("one")
+    )
     known = cut(known)
-    labels = components(docs, known, n, num, den, total, text)
+    labels = components(docs, known, n, num, den, total, key, text)
     tagged = cut(known.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     least = tagged.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = tagged.join(least, "comp").select("node", "component_id")

@@ -40,6 +40,7 @@ def test_components_agree_with_all_pairs(spark, monkeypatch, n, num, frequent, d
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "DENSE", dense)  # 1: every key is dense
     monkeypatch.setattr(ngram_join, "BLOCK", 3 + 10 * dense)
+    monkeypatch.setattr(ngram_join, "STRIP", 2)
     monkeypatch.setattr(ngram_join, "MAP_BITS", bits)
     rows = corpus(n)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit("x")).repartition(3)
