@@ -377,14 +377,14 @@ def distance_sums(points: DataFrame, params: DataFrame, methods: list[str], bloc
         "space_id",
         "blocks",
         "method_id",
-        F.concat_ws("\t", "space_id", "method_id").alias("run_id"),
+        F.concat(F.hex(F.encode("space_id", "utf-8")), F.lit(":"), "method_id").alias("run_id"),
         F.lit(0).alias("member_no"),
         F.lit(None).cast(MEDOIDS).alias("medoids"),
     )
     sums = candidate_costs(pairs, runs, 1, False, every_candidate=True)
-    parts = F.split("run_id", "\t")
+    parts = F.split("run_id", ":", 2)  # the name of the space as hex digits: any name can be cut off again
     return sums.select(
-        parts[0].alias("space_id"),
+        F.decode(F.unhex(parts[0]), "utf-8").alias("space_id"),
         parts[1].alias("method_id"),
         "sample_id",
         F.col("c0").cast("double").alias("total_distance"),

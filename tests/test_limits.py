@@ -13,7 +13,9 @@ from ordinalia.functions import quantiles as Q
 from ordinalia.operators import pam, perturb
 from ordinalia.operators import ranks as K
 from ordinalia.operators import rules as RL
+from ordinalia.operators import transfer as TR
 from ordinalia.operators.audit import AuditConfig
+from ordinalia.plans import pipelines as PL
 from ordinalia.sources import manifest
 from ordinalia.sources.matrices import measurements_to_vectors, vectors_to_measurements
 
@@ -119,3 +121,59 @@ def test_leave_one_out_agrees_with_whole_sets(spark):
             wanted = {r["method_id"]: r["threshold"] for r in S.method_thresholds(rest, quantile).collect()}
             assert {m: t for (c, o, m), t in thresholds.items() if c == "c" and o == out}.items() <= wanted.items()
             assert deltas["c", out] == S.hybrid_delta(rest, quantile).first()["delta_hybrid"]
+
+
+@pytest.mark.parametrize("wrong", [{"k": 2.5}, {"k": True}, {"seed": "7"}, {"resamples": 3.0}, {"margin": None}, {"alphas": (0.5, "0.7")}])
+def test_counts_are_whole_numbers(wrong):
+    good = {"k": 2, "feature_budget": 4, "relation_budget": 3, "resamples": 1, "seed": 0}
+    with pytest.raises(ValueError, match=f"{next(iter(wrong))}=.* is not a"):
+        AuditConfig(**{**good, **wrong})
+
+
+def test_too_few_null_copies_are_refused():
+    config = AuditConfig(k=2, feature_budget=4, relation_budget=3, resamples=1, seed=0)
+    with pytest.raises(ValueError, match="null_replicates=2"):
+        PL.audit_and_select(None, config, 2)
+
+
+def _cells(spark, names):
+    rows = [(d, f"s\t{i}", f"f{j}", float((i * 7 + j * j * (i % 2)) % 11)) for d in names for i in range(8) for j in range(4)]
+    return spark.createDataFrame(rows, "dataset_id string, sample_id string, feature_id string, value double")
+
+
+def test_names_with_tabs_and_colons_keep_their_targets(spark):
+    names = ["a\tb", "a", "x:y"]
+    routes = spark.createDataFrame([("a", "a\tb"), ("a", "x:y")], "model_id string, target_id string")
+    _, assigned = PL.rule_transfer(_cells(spark, names), routes, k=2, feature_budget=4, max_rules=4, min_support=0.5)
+    got = {(r["target_id"], r["sample_id"]) for r in assigned.collect()}
+    assert got == {(t, f"s\t{i}") for t in ("a\tb", "x:y") for i in range(8)}
+
+
+def test_targets_with_another_schema_are_refused(spark):
+    cells = _cells(spark, ["a", "b"])
+    routes = spark.createDataFrame([("a", "b")], "model_id string, target_id string")
+    frozen_for = TR.feature_schema_hash(cells.where("dataset_id = 'b'"))
+    for changed in (cells.where("feature_id <> 'f3'"), cells.where("dataset_id <> 'b'")):
+        with pytest.raises(ValueError, match="frozen for"):
+            PL.assign_targets(None, routes, changed, frozen_for)
+    assert TR.schema_mismatches(cells.where("dataset_id = 'b'"), frozen_for).isEmpty()
+
+
+def test_labels_wait_for_frozen_runs(spark):
+    assigned = spark.createDataFrame(
+        [("m", "t", f"s{i}", i % 2, 0.9, 0.4) for i in range(6)],
+        "model_id string, target_id string, sample_id string, accepted_cluster int, best_score double, score_margin double",
+    )
+    labels = spark.createDataFrame([("t", f"s{i}", "xy"[i % 2]) for i in range(6)], "dataset_id string, sample_id string, label string")
+    done = spark.createDataFrame([("m", "v1", "c", 1.0)], "run_id string, schema_tag string, sha256 string, seconds double")
+    files = spark.createDataFrame([("m", "c")], "run_id string, sha256 string")
+    for runs, reason in (
+        (PL.FrozenRuns(done.limit(0), files, "v1"), "not frozen"),
+        (PL.FrozenRuns(done, files.withColumn("sha256", F.lit("d")), "v1"), "damaged"),
+    ):
+        with pytest.raises(ValueError, match=reason):
+            PL.evaluate_rules(assigned, labels, runs)
+        with pytest.raises(ValueError, match=reason):
+            PL.evaluate_transfer(None, assigned, labels, 2, runs)
+    row = PL.evaluate_rules(assigned, labels, PL.FrozenRuns(done, files, "v1")).first()
+    assert (row["ari"], row["coverage"]) == (1.0, 1.0)
