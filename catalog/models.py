@@ -142,16 +142,75 @@ def _one_run(points, method):
     )
 
 
-@register("kmedoids_vectors")
+def _walk(k: int) -> list[str]:
+    """All rounds of k-medoids over ``d(dataset_id, i, j, d)``: one row per round, from the first medoid on.
+
+    ``walk.ids`` are the sorted medoids after round ``turn``, rounds up to ``k`` add one, later ones swap one.  A
+    candidate costs what all samples pay with their nearest medoid or it; if it replaces a medoid, the samples of that
+    medoid fall back to their second nearest.  Costs have ten decimals, ties go to the smaller set of ids.
+    """
+    return [
+        "dd AS MATERIALIZED (SELECT dataset_id, i, j, round(d, 12) AS d FROM d)",
+        f"""walk(dataset_id, turn, ids, objective) AS (
+          SELECT dataset_id, 1, [j], cost FROM (
+            SELECT dataset_id, j, round(sum(d::decimal(28,12)), 10)::decimal(38,10) AS cost FROM dd GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY cost, j) = 1
+          UNION ALL
+          SELECT dataset_id, turn + 1, after, cost FROM (
+            SELECT dataset_id, turn, ids, objective, list_sort(list_append(list_filter(ids, lambda x: x <> leaving), j)) AS after,
+              round(paid + coalesce(fallback[leaving], 0), 10)::decimal(38,10) AS cost
+            FROM (
+              SELECT *, unnest(CASE WHEN len(ids) < {k} THEN [''] ELSE ids END) AS leaving FROM (
+              SELECT dataset_id, turn, ids, objective, j, sum(with_nearest) AS paid,
+                map_from_entries(list((owner, with_second - with_nearest))) AS fallback
+              FROM (
+                SELECT near.dataset_id, turn, ids, objective, dd.j, owner, sum(least(dd.d, first)::decimal(28,12)) AS with_nearest,
+                  sum(least(dd.d, second)::decimal(28,12)) AS with_second
+                FROM (
+                  SELECT m.dataset_id, turn, ids, objective, dd.i, (list(m.m ORDER BY dd.d, m.m))[1] AS owner,
+                    min(dd.d) AS first, coalesce((list(dd.d ORDER BY dd.d))[2], 'inf'::double) AS second
+                  FROM (SELECT *, unnest(ids) AS m FROM walk) m JOIN dd ON dd.dataset_id = m.dataset_id AND dd.j = m.m
+                  GROUP BY ALL) near
+                JOIN dd ON dd.dataset_id = near.dataset_id AND dd.i = near.i
+                WHERE NOT list_contains(ids, dd.j) GROUP BY ALL)
+              GROUP BY ALL)))
+          WHERE len(ids) < {k} OR cost < objective
+          QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY cost, after) = 1)""",
+    ]
+
+
+_VECTORS_SQL = L.query(
+    L.matrix("m1")
+    + L.scaled("m1", 64)
+    + [
+        "zl AS (SELECT dataset_id, sample_id, list(z ORDER BY feature_rank) AS zs FROM zed GROUP BY ALL)",
+        """d AS (SELECT a.dataset_id, a.sample_id AS i, b.sample_id AS j, list_distance(a.zs, b.zs) AS d
+          FROM zl a JOIN zl b USING (dataset_id))""",
+    ]
+    + _walk(10)
+    + ["centres AS (SELECT dataset_id, unnest(ids) AS m, generate_subscripts(ids, 1) - 1 AS cluster FROM walk QUALIFY rank() OVER (PARTITION BY dataset_id ORDER BY turn DESC) = 1)"],
+    f"""SELECT i AS sample_id, cluster::bigint AS cluster, {L.r6('d')} AS nearest
+    FROM (SELECT dd.dataset_id, i, j, d, cluster FROM dd JOIN centres c ON c.dataset_id = dd.dataset_id AND c.m = dd.j)
+    QUALIFY row_number() OVER (PARTITION BY dataset_id, i ORDER BY i <> j, d, cluster) = 1""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("kmedoids_vectors", _VECTORS_SQL)
 def kmedoids_vectors(spark, sf):
-    """Ten medoids of the embeddings and every sample's cluster."""
-    points, _ = _points(spark, sf, I.m1, 32)
+    """Ten medoids of the embeddings over all their features, and every sample's cluster."""
+    points, _ = _points(spark, sf, I.m1, 64)
     params = cut(_bare(points))
     fitted = pam.settled(pam.fit(points, params, _one_run(points, "V_EUC_PAM"), 10))
     return pam.assign(points, params, fitted).select("sample_id", n("cluster").alias("cluster"), r6("nearest").alias("nearest"))
 
 
-@register("kmedoids_trace")
+_TRACE_SQL = L.query(
+    L.matrix("m3") + L.scaled("m3", 10) + L.ranked() + [f"d AS ({_PAIR['R_FOOT_PAM']})"] + _walk(3),
+    f"SELECT dataset_id, (turn - 3)::bigint AS step, {L.r6('objective::double')} AS objective FROM walk WHERE turn >= 3",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("kmedoids_trace", _TRACE_SQL)
 def kmedoids_trace(spark, sf):
     """Objective after BUILD and after every swap, both supplier datasets in one fit."""
     points, _ = _points(spark, sf, I.m3, 10)

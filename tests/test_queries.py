@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Whole pipelines take a minute each; set ALL_QUERIES=1 to run them here too.
 SLOW = {
     "representation_audit", "audit_with_missing_cells", "calibrated_selection", "cohort_transfer",
-    "transfer_evaluation", "shared_source_transfer", "method_comparison", "rule_clusters", "kmedoids_vectors",
+    "transfer_evaluation", "shared_source_transfer", "method_comparison", "rule_clusters",
 }
 
 
