@@ -359,7 +359,7 @@ def _rule_result(assigned):
     )
 
 
-_SEEDS = _imputed("m3", 12) + [
+_SEED_STEPS = [
     "prev AS (SELECT dataset_id, pair_no, avg(bit) AS p FROM bits GROUP BY ALL)",
     "aty AS (SELECT dataset_id, sample_id, round(avg(abs(bit - p)), 12) AS s FROM bits JOIN prev USING (dataset_id, pair_no) GROUP BY ALL)",
     "s1 AS (SELECT dataset_id, sample_id FROM aty QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY s DESC, sample_id) = 1)",
@@ -372,7 +372,7 @@ _SEEDS = _imputed("m3", 12) + [
 
 @register(
     "rule_seeds",
-    L.query(_SEEDS, "SELECT dataset_id, 0::bigint AS seed, sample_id FROM s1 UNION ALL SELECT dataset_id, 1, sample_id FROM s2"),
+    L.query(_imputed("m3", 12) + _SEED_STEPS, "SELECT dataset_id, 0::bigint AS seed, sample_id FROM s1 UNION ALL SELECT dataset_id, 1, sample_id FROM s2"),
 )
 def rule_seeds(spark, sf):
     """The most atypical sample and the one farthest from it."""
@@ -384,14 +384,99 @@ def rule_seeds(spark, sf):
     )
 
 
-@register("rule_clusters")
+def _filled(scored: str, k: int, extra: str = "") -> str:
+    """Labels of greatest score; empty clusters take the least secure members of the largest one, in order."""
+    kept = f", {extra}" if extra else ""
+    return f"""SELECT dataset_id, sample_id{kept}, CASE WHEN cluster = donor AND place <= len(free) THEN free[place] ELSE cluster END AS cluster
+      FROM (
+        SELECT *, list_filter({list(range(k))}, lambda c: NOT list_contains(list(cluster) OVER dataset, c)) AS free,
+          first_value(cluster) OVER (PARTITION BY dataset_id ORDER BY size DESC, cluster, place) AS donor
+        FROM (
+          SELECT *, count(*) OVER (PARTITION BY dataset_id, cluster) AS size,
+            row_number() OVER (PARTITION BY dataset_id, cluster ORDER BY secure, sample_id) AS place
+          FROM (
+            SELECT *, round(score - lead(score) OVER one, 12) AS secure FROM {scored}
+            WINDOW one AS (PARTITION BY dataset_id, sample_id ORDER BY score DESC, cluster) QUALIFY row_number() OVER one = 1))
+        WINDOW dataset AS (PARTITION BY dataset_id))"""
+
+
+def _rules_of(labels: str, max_rules: int, min_support: float, min_contrast: float) -> str:
+    """Rules of the clusters of ``labels(dataset_id, sample_id, cluster)``."""
+    strong = f"support >= {min_support} AND contrast >= {min_contrast}"
+    return f"""(SELECT *, greatest(1e-12, support * greatest(contrast, 1e-6)) AS weight FROM (
+        SELECT *, row_number() OVER (PARTITION BY dataset_id, cluster ORDER BY round(contrast, 12) DESC, round(support, 12) DESC, pair_no) AS rule_rank
+        FROM (SELECT *, {strong} AS strong, bool_or({strong}) OVER (PARTITION BY dataset_id, cluster) AS anystrong
+          FROM (SELECT *, CASE WHEN up THEN share ELSE 1 - share END AS support,
+              CASE WHEN up THEN share ELSE 1 - share END - CASE WHEN up THEN every ELSE 1 - every END AS contrast
+            FROM (SELECT dataset_id, cluster, pair_no, ones / c AS share, ones / c >= 0.5 AS up,
+                sum(ones) OVER (PARTITION BY dataset_id, pair_no) / sum(c) OVER (PARTITION BY dataset_id, pair_no) AS every
+              FROM (SELECT l.dataset_id, l.cluster, b.pair_no, sum(b.bit) AS ones, count(*) AS c
+                FROM {labels} l JOIN bits b ON b.dataset_id = l.dataset_id AND b.sample_id = l.sample_id GROUP BY ALL))))
+        WHERE strong OR NOT anystrong) WHERE rule_rank <= {max_rules})"""
+
+
+def _scores_of(rules: str) -> str:
+    return f"""(SELECT r.dataset_id, b.sample_id, r.cluster, round(sum(CASE WHEN b.bit = r.up::int THEN r.weight ELSE 0 END) / sum(r.weight), 12) AS score
+      FROM {rules} r JOIN bits b ON b.dataset_id = r.dataset_id AND b.pair_no = r.pair_no GROUP BY ALL)"""
+
+
+def _rule_walk(m: str, budget: int, k: int, max_rules: int, min_support: float, min_contrast: float) -> list[str]:
+    """All rounds of rule clustering for two or three clusters: ``rounds`` has the labels of every round until none
+    changes, ``final`` those of the last, ``rules`` what is built from them."""
+    parts = [p.replace("bits AS (", "bits AS MATERIALIZED (") for p in _imputed(m, budget)] + _SEED_STEPS
+    seeds = ["SELECT dataset_id, 0 AS cluster, sample_id FROM s1", "SELECT dataset_id, 1, sample_id FROM s2"]
+    if k == 3:
+        parts += [
+            """h2 AS (SELECT dataset_id, sample_id, min(h) AS h FROM (SELECT * FROM h1 UNION ALL
+              SELECT b.dataset_id, b.sample_id, round(avg((b.bit <> o.bit)::int), 12) FROM bits b JOIN s2 ON s2.dataset_id = b.dataset_id
+              JOIN bits o ON o.dataset_id = b.dataset_id AND o.sample_id = s2.sample_id AND o.pair_no = b.pair_no GROUP BY ALL) GROUP BY ALL)""",
+            """s3 AS (SELECT dataset_id, sample_id FROM h2 WHERE (dataset_id, sample_id) NOT IN (SELECT (dataset_id, sample_id) FROM s1 UNION ALL SELECT (dataset_id, sample_id) FROM s2)
+              QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY h DESC, sample_id) = 1)""",
+        ]
+        seeds.append("SELECT dataset_id, 2, sample_id FROM s3")
+    return parts + [
+        f"seeds AS ({' UNION ALL '.join(seeds)})",
+        """closeness AS (SELECT b.dataset_id, b.sample_id, s.cluster, -round(avg((b.bit <> o.bit)::int), 12) AS score FROM bits b
+          JOIN seeds s ON s.dataset_id = b.dataset_id
+          JOIN bits o ON o.dataset_id = b.dataset_id AND o.sample_id = s.sample_id AND o.pair_no = b.pair_no GROUP BY ALL)""",
+        f"""rounds(dataset_id, turn, sample_id, cluster) AS (
+          SELECT dataset_id, 0, sample_id, cluster FROM ({_filled('closeness', k)})
+          UNION ALL
+          SELECT dataset_id, turn, sample_id, cluster FROM (
+            SELECT old.dataset_id, old.turn + 1 AS turn, old.sample_id, fresh.cluster,
+              bool_or(old.cluster <> fresh.cluster) OVER (PARTITION BY old.dataset_id) AS moved
+            FROM rounds old
+            JOIN ({_filled(_scores_of(_rules_of('rounds', max_rules, min_support, min_contrast)), k)}) fresh
+              ON fresh.dataset_id = old.dataset_id AND fresh.sample_id = old.sample_id)
+          WHERE moved AND turn <= 50)""",
+        "final AS (SELECT * FROM rounds QUALIFY rank() OVER (PARTITION BY dataset_id ORDER BY turn DESC) = 1)",
+        f"rules AS {_rules_of('final', max_rules, min_support, min_contrast)}",
+    ]
+
+
+@register(
+    "rule_clusters",
+    L.query(
+        _rule_walk("m1", 64, 3, 15, 0.6, 0.05),
+        f"""SELECT sample_id, final.cluster::bigint AS cluster, {L.r6('best - second')} AS score_margin
+        FROM (SELECT dataset_id, sample_id, max(score) AS best, (list(score ORDER BY score DESC))[2] AS second
+          FROM {_scores_of('rules')} GROUP BY ALL) JOIN final USING (dataset_id, sample_id)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def rule_clusters(spark, sf):
-    """Rule clusters of the embeddings with the margin between best and second score."""
-    fitted = RL.fit(I.m1(spark, sf), k=3, feature_budget=24, max_rules=15, min_support=0.6, min_contrast=0.05)
+    """Rule clusters of the embeddings over all their features, with the margin between best and second score."""
+    fitted = RL.fit(I.m1(spark, sf), k=3, feature_budget=64, max_rules=15, min_support=0.6, min_contrast=0.05)
     return fitted["labels"].select("sample_id", n("cluster").alias("cluster"), r6("score_margin").alias("score_margin"))
 
 
-@register("rule_cluster_prototypes")
+@register(
+    "rule_cluster_prototypes",
+    L.query(
+        _rule_walk("m3", 12, 2, 8, 0.7, 0.1),
+        f"""SELECT dataset_id AS model_id, cluster::bigint AS cluster, rule_rank::bigint AS rule_rank, fa AS feature_a, fb AS feature_b,
+        up::int::bigint AS direction, {L.r6('support')} AS support, {L.r6('contrast')} AS contrast FROM rules JOIN rp USING (dataset_id, pair_no)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def rule_cluster_prototypes(spark, sf):
     """Executable rules of the supplier datasets."""
     fitted = RL.fit(I.m3(spark, sf), k=2, feature_budget=12, max_rules=8, min_support=0.7)
