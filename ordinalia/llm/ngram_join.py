@@ -45,12 +45,12 @@ FREQUENT, LISTED, MAP_BITS = 32, 2_000_000, 27
 #: Largest list of node digests (16 bytes each) that is sent to the tasks that look for their sets.
 SENT = 2_000_000
 #: A key with more nodes than this is dense; nodes of a block; blocks that one cell meets; sets and texts in an Arrow batch.
-DENSE, BLOCK, STRIP, BATCH, TEXTS = 6, 1536, 8, 128, 2000
+DENSE, BLOCK, STRIP, BATCH, TEXTS = 6, 1536, 8, 128, 500
 #: Bytes of the sets of a block, on average.
 BLOCK_BYTES = 4 << 20
 #: Rows of one key that a task gathers before it hands them on; above DENSE whatever that is.
 HELD = 20_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 SINGLE_UNDER = 8  # size classes below this index frequent tokens one by one
 
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # published mixing constants
