@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
+from ordinalia.operators import pam
 from ordinalia.operators import tiles as T
 
 
@@ -76,3 +78,42 @@ def test_the_lines_and_events_are_aggregated_once(spark, tmp_path):
         long = made(spark, str(tmp_path))
         assert long.count() == rows
         assert not [f for f in long.inputFiles() if f.endswith(file)]
+
+
+def _fitted(points, params):
+    runs = points.select("space_id").distinct().selectExpr(
+        "space_id", "explode(array(0, 1)) AS member_no", "'V_EUC_PAM' AS method_id"
+    ).selectExpr("space_id", "concat(space_id, member_no) AS run_id", "method_id", "member_no")
+    flags = points.withColumn("member", F.expr("array(true, pmod(xxhash64(sample_id), 3) > 0)"))
+    fitted = pam.fit(flags, params, runs, 2, block_rows=10)
+    return sorted((r["run_id"], r["medoids"], r["trace"], r["status"]) for r in fitted.collect())
+
+
+@pytest.mark.parametrize("stretch", [1.0, 1e8])
+def test_whole_costs_of_a_task_give_the_same_medoids_and_sums(spark, monkeypatch, stretch):
+    made, points, params = _two_spaces(spark, stretch=stretch)
+    parted = _fitted(points, params)
+    assert all(status == "done" for *_, status in parted)
+    monkeypatch.setattr(T, "MOST_PARTIAL_SUMS", 0)
+    assert T.block_table(points, params, 10).whole
+    assert _fitted(points, params) == parted
+    want = _sums(made)
+    got = T.distance_sums(points, params, ["V_EUC_PAM"], 10).collect()
+    assert len(got) == len(want)
+    assert all(abs(r["total_distance"] / want[r["space_id"], r["sample_id"]] - 1) < 1e-9 for r in got)
+
+
+def test_many_runs_pass_on_the_cheapest_candidates_only(spark, monkeypatch):
+    made, points, params = _two_spaces(spark)
+    monkeypatch.setattr(T, "MOST_PARTIAL_SUMS", 1000)
+    blocks = T.block_table(points, params, 10, runs=1000)
+    runs = T.space_blocks(blocks).selectExpr(
+        "space_id", "blocks", "space_id AS run_id", "'V_EUC_PAM' AS method_id", "0 AS member_no", f"CAST(NULL AS {T.MEDOIDS}) AS medoids"
+    )
+    costs = T.candidate_costs(blocks, runs, 1, False, small=True).collect()
+    assert len(costs) <= blocks.rows.count()  # not one row per sample
+    for space in made:
+        found = min((float(r["c0"]), r["sample_id"]) for r in costs if r["run_id"] == space)
+        want = min((v, s) for (name, s), v in _sums(made).items() if name == space)
+        assert found[1] == want[1] and abs(found[0] - want[0]) < 1e-6
+    blocks.unpersist()
