@@ -117,3 +117,65 @@ def test_many_runs_pass_on_the_cheapest_candidates_only(spark, monkeypatch):
         want = min((v, s) for (name, s), v in _sums(made).items() if name == space)
         assert found[1] == want[1] and abs(found[0] - want[0]) < 1e-6
     blocks.unpersist()
+
+
+def _median(made: dict, digits: int) -> dict:
+    out = {}
+    for space, m in made.items():
+        d = np.round(np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)), digits)[np.triu_indices(len(m), 1)]
+        out[space] = float(np.median(d[d > 0]))
+    return out
+
+
+@pytest.mark.parametrize("listed", [0, 3, 1 << 16])
+@pytest.mark.parametrize("kind", ["spread", "narrow", "ties"])
+def test_the_median_of_all_pairs_is_exact_whatever_the_passes(spark, monkeypatch, listed, kind):
+    made, points, params = _two_spaces(spark)
+    if kind != "spread":  # distances that share their first 40 bits, and distances of few values
+        for m in made.values():
+            m[:] = np.arange(len(m))[:, None] % 2 + (m * 1e-9 if kind == "narrow" else 0)
+        listed_rows = [(s, f"{i:03d}", x.tolist(), x.tolist()) for s, m in made.items() for i, x in enumerate(m)]
+        points = spark.createDataFrame(listed_rows, points.schema)
+    monkeypatch.setattr(T, "LISTED_VALUES", listed)
+    got = {r["space_id"]: r["scale"] for r in T.positive_median(points, params, ["V_EUC_PAM"], 10).collect()}
+    want = _median(made, T.DISTANCE_DIGITS)
+    assert got.keys() == want.keys()
+    assert all(abs(got[s] / want[s] - 1) < 1e-12 for s in want)
+
+
+def _search_rows(spark, monkeypatch, points, params) -> list[int]:
+    """Rows that the tasks of each pass of the median's search pass on."""
+    counters, tile_bins = [], T._tile_bins
+
+    def counting(*passed):
+        counters.append(spark.sparkContext.accumulator(0))
+        counter, run = counters[-1], tile_bins(*passed)
+
+        def counted(batches):
+            for part in run(batches):
+                counter.add(part.num_rows)
+                yield part
+
+        return counted
+
+    monkeypatch.setattr(T, "_tile_bins", counting)
+    T.positive_median(points, params, ["V_EUC_PAM"]).collect()
+    return [c.value for c in counters]
+
+
+def test_a_later_pass_of_the_median_passes_on_a_bounded_number_of_bins(spark, monkeypatch):
+    """The middle distances of 500 samples share their first 24 bits with some 30,000 others; one block."""
+    rng = np.random.default_rng(5)
+    listed = [("a", f"{i:03d}", [float(i % 2 + x)], [0.0]) for i, x in enumerate(rng.uniform(0, 2e-5, 500))]
+    points = spark.createDataFrame(listed, "space_id string, sample_id string, z array<double>, q array<double>")
+    params = points.select("space_id").distinct().select("space_id", *T.no_relations())
+    monkeypatch.setattr(T, "LISTED_VALUES", 1000, raising=False)
+    rows = _search_rows(spark, monkeypatch, points, params)
+    assert len(rows) > 1 and max(rows[1:]) <= 1 << 14
+
+
+def test_distances_of_one_value_end_the_search(spark, monkeypatch):
+    listed = [("a", f"{i:03d}", [float(i % 2)], [0.0]) for i in range(600)]
+    points = spark.createDataFrame(listed, "space_id string, sample_id string, z array<double>, q array<double>")
+    params = points.select("space_id").distinct().select("space_id", *T.no_relations())
+    assert len(_search_rows(spark, monkeypatch, points, params)) == 2
