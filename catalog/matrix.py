@@ -555,7 +555,8 @@ def relation_screen(spark, sf):
 # ---------------------------------------------------------------- distances
 
 
-def _points(spark, sf, m, budget):
+def _points(spark, sf, m, budget=None):
+    """Profiles over the ``budget`` most spread features, or over all."""
     measurements = m(spark, sf)
     model = cut(R.feature_model(R.top_features(R.feature_stats(measurements), budget)))
     rows = K.profile_rows(measurements, model)
@@ -645,10 +646,11 @@ def euclidean_sums(spark, sf):
 
 @register(
     "correlation_sums",
-    L.query(L.matrix("m1") + L.scaled("m1", 16) + _UNIT + [f"d AS ({_PAIR['V_COR_PAM']})"], _SUM),
+    L.query(L.matrix("m1") + L.scaled("m1", None) + _UNIT + [f"d AS ({_PAIR['V_COR_PAM']})"], _SUM),
 )
 def correlation_sums(spark, sf):
-    points, _ = _points(spark, sf, I.m1, 16)
+    """Sum of correlation distances from every sample to all samples, over all features."""
+    points, _ = _points(spark, sf, I.m1)
     return _sums(points, _bare(points), "V_COR_PAM")
 
 

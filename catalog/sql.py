@@ -52,15 +52,16 @@ def stats(m: str) -> list[str]:
     ]
 
 
-def selected(m: str, budget: int) -> list[str]:
+def selected(m: str, budget: int | None) -> list[str]:
+    kept = "" if budget is None else f" WHERE feature_rank <= {budget}"
     return stats(m) + [
         f"""sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id
-            ORDER BY mad DESC, feature_id) AS feature_rank FROM stats) WHERE feature_rank <= {budget})"""
+            ORDER BY mad DESC, feature_id) AS feature_rank FROM stats){kept})"""
     ]
 
 
-def scaled(m: str, budget: int) -> list[str]:
-    """``zed``: imputed and scaled values of the selected features, ``raw`` NULL where missing."""
+def scaled(m: str, budget: int | None) -> list[str]:
+    """``zed``: imputed and scaled values of the selected (without a budget: all) features, ``raw`` NULL where missing."""
     return selected(m, budget) + [
         """zed AS (SELECT g.dataset_id, g.sample_id, s.feature_rank, g.feature_id, g.value AS raw,
             (coalesce(g.value, s.median) - s.median) / s.scale AS z
