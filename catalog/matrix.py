@@ -636,11 +636,11 @@ def _bare(points):
 
 @register(
     "euclidean_sums",
-    L.query(L.matrix("m1") + L.scaled("m1", 16) + [f"d AS ({_PAIR['V_EUC_PAM']})"], _SUM),
+    L.query(L.matrix("m1") + L.scaled("m1", None) + [f"d AS ({_PAIR['V_EUC_PAM']})"], _SUM),
 )
 def euclidean_sums(spark, sf):
     """Sum of Euclidean distances from every sample to all samples, i.e. the first k-medoids cost table."""
-    points, _ = _points(spark, sf, I.m1, 16)
+    points, _ = _points(spark, sf, I.m1)
     return _sums(points, _bare(points), "V_EUC_PAM")
 
 

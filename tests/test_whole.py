@@ -31,7 +31,7 @@ def _distances(name: str, x: np.ndarray) -> np.ndarray:
     return 1.0 - np.corrcoef(z)
 
 
-@pytest.mark.parametrize("name", ["correlation_sums"])
+@pytest.mark.parametrize("name", ["correlation_sums", "euclidean_sums"])
 def test_distance_sums_read_every_feature(spark, tmp_path, name):
     sf = _vectors(tmp_path, 16)
     x = np.array(pq.read_table(f"{sf}/embeddings.parquet")["embedding"].to_pylist())
